@@ -4,29 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltline.llm import decontaminate, packing, simhash
+from siltline.llm import decontaminate, packing, quality, secrets, simhash
 from siltline.llm.common import table, written
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
     return simhash.one_of_each(docs)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced; the documents stay."""
+    return secrets.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and place there."""
     return packing.pack(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("best_fit_packing", pack)]
+STAGES = [(f.__name__, f) for f in (quality_rules, simhash_near_dedup, benchmark_decontamination, secret_scans, best_fit_packing)]
 
-#: Packing is no SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Near-dedup's components and packing are no SQL: tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

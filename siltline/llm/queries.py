@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.llm import chat, decontaminate, packing, quality, scoring, secrets, simhash, urls
+from siltline.llm import chat, decontaminate, edits, packing, quality, scoring, secrets, simhash, toxicity, urls
 from siltline.llm.common import table
 
 
@@ -13,6 +13,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.seed_labels(spark))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.token_counts(table(spark, sf_dir, "documents"), edits.revision)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_text=False)
     q = out.columns[-1]
@@ -47,7 +55,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op6_quality_rules, op3_simhash_near_dedup, op4_best_fit_packing, op7_lm_scoring, op8_secret_scans, op9_chat_formatting, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_token_counts,
+        op3_simhash_near_dedup,
+        op4_best_fit_packing,
+        op5_toxicity,
+        op6_quality_rules,
+        op7_lm_scoring,
+        op8_secret_scans,
+        op9_chat_formatting,
+        op10_benchmark_decontamination,
+    )
+}
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -65,7 +65,8 @@ class PieceCounts(dict):
         with open(vocabulary(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("siltline", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.find, self.most = regex.compile(public_tokenizers.PATTERN).findall, most
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        self.find, self.scan, self.most = pattern.findall, pattern.finditer, most
 
     def __missing__(self, piece: str) -> int:
         n = len(self.encoding.encode_ordinary(piece))
