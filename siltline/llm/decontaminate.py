@@ -148,7 +148,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
                     held = column.to_pylist()
                     for n, more in found.items():
                         held[n] = [*held[n], *({"item_id": i, "n_shingles": s, "n_found": f} for i, s, f in more)]
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, column.type)], names=b.schema.names)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held, column.type)], schema=b.schema)
                 else:
                     yield b
 
