@@ -7,7 +7,9 @@ scores is then fitted on all rows.
 
 Features: words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased and without punctuation at their ends, and their first four
 and six letters, hashed into ``buckets``; a feature counts by the logarithm of how often the text has it, and a text's
-vector is divided by its length. A link's weights are shrunk to the features that ``least`` labelled texts have.
+vector is divided by its length. Only features that ``least`` labelled
+texts have get a weight, and each is scaled by the logarithm of how much likelier texts of the category are to have it
+(Wang and Manning, 2012), so that a few telling words count in a long text.
 
 The models are fitted on at most ``most_labels`` labelled texts (those with the smallest hash of their id), which are
 reduced to their buckets before they reach the driver. Texts are scored whole, in one pass, and never shuffled but for
@@ -81,6 +83,22 @@ class Rows:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at] * self.value, self.n)
 
+    def only(self, known: np.ndarray) -> Rows:
+        out, keep = Rows([]), known[self.at]
+        out.n, out.at, out.value, out.row = self.n, self.at[keep], self.value[keep], self.row[keep]
+        return out
+
+    def share(self, use: np.ndarray, size: int) -> np.ndarray:
+        """In how many of these rows each bucket is."""
+        return np.bincount(self.at, use[self.row].astype(float), size)
+
+    def scaled(self, by: np.ndarray) -> Rows:
+        """Values times their buckets' scale, and rows no longer than 1: long ones almost that, short ones little changed."""
+        out = Rows([])
+        out.n, out.at, out.row, value = self.n, self.at, self.row, self.value * by[self.at]
+        out.value = value / np.sqrt(0.1 + np.bincount(self.row, value * value, self.n))[self.row]
+        return out
+
     def back(self, r: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(self.at, r[self.row] * self.value, size)
 
@@ -94,6 +112,7 @@ class Link:
 
     def __init__(self, buckets: int, earlier: int):
         self.w, self.u, self.b, self.constant = np.zeros(buckets), np.zeros(earlier), 0.0, None
+        self.ratio = np.ones(buckets)
 
     def fit(self, rows: Rows, early: np.ndarray, y: np.ndarray, use: np.ndarray, known: np.ndarray, decay: float, steps: int) -> Link:
         """On the rows where ``use``, and only buckets that are ``known``; accelerated gradient descent."""
@@ -101,13 +120,15 @@ class Link:
         if not n or good in (0.0, float(n)):
             self.constant = (good + 0.5) / (n + 1.0)
             return self
+        with_it = rows.share(use & (y > 0), len(self.w)), rows.share(use & (y == 0), len(self.w))
+        self.ratio = known * np.log((with_it[0] + 1) / (good + 2) / (with_it[1] + 1) * (n - good + 2))
         weight = np.where(use, np.where(y > 0, 0.5 * n / good, 0.5 * n / (n - good)), 0.0) / n
         look = [self.w.copy(), self.u.copy(), self.b]
-        rate, t = 4.0 / (2.0 + early.shape[1]), 1.0
+        rows, rate, t = rows.scaled(self.ratio), 4.0 / (2.0 + early.shape[1]), 1.0
         for _ in range(steps):
             r = weight * (sigmoid(rows.dot(look[0]) + early @ look[1] + look[2]) - y)
             new = [
-                look[0] - rate * (rows.back(r, len(self.w)) * known + decay * look[0]),
+                look[0] - rate * (rows.back(r, len(self.w)) + decay * look[0]),
                 look[1] - rate * (early.T @ r + decay * look[1]),
                 look[2] - rate * float(r.sum()),
             ]
@@ -119,17 +140,18 @@ class Link:
     def predict(self, rows: Rows, early: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(rows.n, self.constant)
-        return sigmoid(rows.dot(self.w) + early @ self.u + self.b)
+        return sigmoid(rows.scaled(self.ratio).dot(self.w) + early @ self.u + self.b)
 
 
 class Chain:
     def __init__(self, names: tuple[str, ...], buckets: int):
         self.names, self.buckets, self.links = names, buckets, []
 
-    def fit(self, rows: Rows, labels: np.ndarray, folds: int = 5, least: int = 3, decay: float = 1e-4, steps: int = 150) -> Chain:
+    def fit(self, rows: Rows, labels: np.ndarray, folds: int = 4, least: int = 3, decay: float = 1e-4, steps: int = 120) -> Chain:
         """``labels`` has a column for each category; NaN is unknown. Folds are dealt out by position."""
         fold, early = np.arange(rows.n) % folds, np.zeros((rows.n, 0))
         known = np.bincount(rows.at, minlength=self.buckets) >= least
+        rows = rows.only(known)
         for k in range(len(self.names)):
             y, has = np.nan_to_num(labels[:, k]), ~np.isnan(labels[:, k])
             out = np.zeros(rows.n)
@@ -187,7 +209,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, toxic: str,
     return [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in rows], [r["y"] for r in rows]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", buckets: int = 1 << 16, most_labels: int = 6000, most_false: float = 0.002, **options) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", buckets: int = 1 << 16, most_labels: int = 4000, most_false: float = 0.002, **options) -> DataFrame:
     """(id, p_<category> of the chain, toxic) for every row of ``docs``.
 
     ``toxic`` is whether the last probability is over the threshold that, of the out-of-fold probabilities, at most

@@ -28,9 +28,16 @@ BLOCKED = ("casino", "poker", "bets", "jackpot", "pills", "pharmacy", "adult", "
 ALLOWED = ("wiki", "library", "museum", "school", "research", "science", "news", "weather", "recipes", "garden", "history", "travel", "forum", "docs", "music", "sports", "village", "journal")
 
 
+SYLLABLES = ("th", "er", "in", "on", "an", "st", "re", "ion")
+
+
 def seed_labels(spark: SparkSession) -> DataFrame:
-    """(url, blocked): six urls of each word."""
-    rows = []
+    """(url, blocked): six urls of each word, and of hosts that say nothing, which are allowed."""
+    rows = [("", 0)]
+    for n in range(64):
+        name = SYLLABLES[n % 8] + SYLLABLES[n // 8] + SYLLABLES[(n * 3 + 1) % 8]
+        sub, top, tongue = ("", "www.", "m.", "blog.")[n % 4], ("org", "net")[n // 4 % 2], ("en", "de")[n // 8 % 2]
+        rows.append((f"http{'s' * (n % 3 > 0)}://{sub}{name}.example.{top}/{tongue}/{n * 137}{('', '/', '.html')[n % 3]}", 0))
     for blocked, names in ((1, BLOCKED), (0, ALLOWED)):
         for n, word in enumerate(names):
             other = names[(n + 5) % len(names)]
