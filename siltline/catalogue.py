@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltline.plans import analytics
+from siltline.plans import analytics, roundtrips
 
-FLAGSHIP = "vendor_day_rollup"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES}
-ORACLE_SQL: dict[str, str] = {**analytics.ORACLE_SQL}
+FLAGSHIP = "denied_per_source_day"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**roundtrips.QUERIES, **analytics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**roundtrips.ORACLE_SQL, **analytics.ORACLE_SQL}
