@@ -74,7 +74,42 @@ QUERIES = {
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+RAW_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+TESTS = ", ".join(f"('{rule}', {n}, {cut})" for rule, (_, grid) in quality.RULES.items() for n, cut in enumerate(grid))
+SHARES = ", ".join(f"'{rule}': {over} / greatest({under}, 1)" for rule, (over, under) in ((r, f.split(" / ")) for r, (f, _) in quality.RULES.items()))
+STRATUM = f"CASE WHEN lang IN ({', '.join(map(repr, quality.STRATA))}) THEN lang ELSE '{quality.OTHER}' END"
+#: The parameters that op6's query leaves at their defaults.
+ALPHA, DELTA, COST = 0.02, 0.05, 10.0
+RATE, LEVEL = ALPHA / len(quality.RULES), DELTA / (len(quality.RULES) * (len(quality.STRATA) + 1))
+
 ORACLE_SQL = {
+    "op6_quality_rules": rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, {RAW_WORDS} AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 2), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, gram, list(i) AS p FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, unnest(p) AS i FROM r), range(3) AS o(k) GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, {STRATUM} AS stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, MAP {{{SHARES}}} AS shares FROM f),
+l AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+q (rule, level, cut) AS (VALUES {TESTS}),
+e AS (
+  SELECT stratum, rule, level, cut, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS m,
+    count(*) FILTER (good AND shares[rule] > cut) AS k, count(*) FILTER (NOT good AND shares[rule] > cut) AS caught
+  FROM b JOIN l USING (doc_id), q WHERE NOT base_failed GROUP BY stratum, rule, level, cut),
+p AS (
+  SELECT *, caught / greatest(m, 1) - {COST} * k / greatest(n, 1) AS worth,
+    bool_and(CASE WHEN k > n * {RATE} THEN false ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RATE}) + (n - j) * ln(1 - {RATE})))) <= {LEVEL} END)
+      OVER (PARTITION BY stratum, rule ORDER BY level) AS proven FROM e),
+s AS (SELECT stratum, rule, cut FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, level) AS best FROM p WHERE proven AND worth > 0) WHERE best = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM s WHERE s.stratum = b.stratum AND b.shares[s.rule] > s.cut) AS kept FROM b
+""",
     "op10_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 k AS (SELECT item_id, w, least(5, len(w)) AS n FROM i WHERE len(w) > 0),
