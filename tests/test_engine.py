@@ -237,3 +237,86 @@ def test_multiline(spark):
     df = spark.createDataFrame(lines, "peer int, seq int, raw string")
     got = [(r.peer, r.first, r.n_lines, r.confidence) for r in frames.multiline(df, "^START", ["peer"], "seq", most_lines=4).orderBy("peer", "first").collect()]
     assert got == [(1, 0, 1, "low"), (1, 1, 2, "high"), (1, 3, 1, "high"), (2, 0, 4, "low"), (2, 4, 2, "low")]
+
+
+def test_signatures():
+    from siltline.operators import signing
+
+    # The first vector of RFC 8032.
+    secret = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    assert signing.public_key(secret).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    made = signing.sign(secret, b"")
+    assert made.hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
+    public = signing.public_key(secret)
+    assert signing.verify(public, b"", made) and not signing.verify(public, b"x", made) and not signing.verify(public, b"", made[:-1] + b"\0")
+
+
+def test_packs_fail_closed():
+    from siltline.operators import packs, signing
+
+    secret = bytes(range(32))
+    trusted = {"k": signing.public_key(secret)}
+    good = {"id": "p", "families": [{"id": "f", "surface": "kv", "spec": {"parse": {"op": "kv", "keys": {"a": {}}}}, "anchors": [{"id": "x", "kind": "key", "at": "dev", "values": ["1"]}], "mapping": [{"attribute": "a", "path": "a"}]}]}
+    log = packs.Log()
+    for other in ({"id": "x"}, good, {"id": "y"}):
+        log.append(other)
+    loaded = packs.load(packs.signed(good, secret, "k"), trusted, log.root(), log.prove(1))
+    assert loaded.families[0].anchors[0].values == ("1",) and loaded.mappings["f"][0].attribute == "a"
+
+    def broken(**change):
+        d = json.loads(json.dumps(good))
+        d["families"][0] |= change
+        return packs.signed(d, secret, "k")
+
+    twice = json.loads(json.dumps(good))
+    twice["families"].append(twice["families"][0] | {"id": "g"})
+    for bad in (
+        packs.signed(good, secret, "other"), packs.signed(good, secret, "k") | {"document": {"id": "p"}}, packs.signed({"id": "p"}, secret, "k"), packs.signed(twice, secret, "k"),
+        broken(spec={"parse": {"op": "eval"}}), broken(parser_hash="sha256:0"), broken(anchors=[{"id": "x", "kind": "guess", "at": "", "values": ["1"]}]), broken(mapping=[{"attribute": "a", "transform": "eval"}]), broken(mapping=[{"attribute": "a"}, {"attribute": "a"}]), broken(extra={"confidence": 0.9}),
+    ):
+        with pytest.raises(packs.Refused):
+            packs.load(bad, trusted)
+    with pytest.raises(packs.Refused):
+        packs.load(packs.signed(good, secret, "k"), trusted, log.root(), log.prove(0))
+
+
+def test_bundles():
+    import hashlib
+
+    from siltline.operators import packs, signing
+
+    secret = b"\x07" * 32
+    raws = [f"line {n}".encode() for n in range(6)]
+    records = [{"offset": n * 10, "length": len(r), "raw_hash": "sha256:" + hashlib.sha256(r).hexdigest()} for n, r in enumerate(raws)]
+    b, trusted = packs.bundle("s1", records, 4, secret, "k"), {"k": signing.public_key(secret)}
+    assert packs.verify_bundle(b, trusted, raws[4]) is None
+    assert packs.verify_bundle(b, trusted, b"x") == "raw bytes" and packs.verify_bundle(b, {}) == "signature"
+    assert packs.verify_bundle(b | {"record": records[3]}, trusted) == "proof" and packs.verify_bundle(b | {"segment": "s2"}, trusted) == "proof"
+
+
+@pytest.mark.parametrize("protocol", ["tcp", "udp"])
+def test_listener(protocol):
+    import time
+
+    from siltline.sources import network
+
+    reader = network.Reader({"protocol": protocol, "port": "0", "maxframes": "1000"})
+    network._inboxes.clear()
+    address = ("127.0.0.1", reader.inbox.port)
+    if protocol == "tcp":
+        with socket.create_connection(address) as s:
+            s.sendall(b"one\r\ntwo\npart")
+    else:
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            for x in (b"one", b"two", b"part"):
+                s.sendto(x, address)
+    for _ in range(100):
+        if reader.inbox.next >= 3:
+            break
+        time.sleep(0.05)
+    rows, end = reader.read(reader.initialOffset())
+    got = list(rows)
+    assert [r[2] for r in got] == [b"one", b"two", b"part"] and got[0][3] == ("newline" if protocol == "tcp" else "udp_datagram")
+    assert [r[2] for r in reader.readBetweenOffsets({"next": 1}, end)] == [b"two", b"part"]
+    reader.commit(end)
+    assert list(reader.read(end)[0]) == [] and not reader.inbox.rows
