@@ -9,8 +9,13 @@ linked pair differs: the pair agrees on all that table v keeps. 15 tables of abo
 
 Groups: exact copies count as one fingerprint before anything is shuffled. A bucket gives a spanning forest of its links,
 never its pairs. A bucket of more than ``bucket`` fingerprints isn't searched as it is: the same construction on the
-positions that its table left free deals it out to 15 tables of about 49 bits, then of 56, where at most 2^8 fingerprints
-can share a key. So memory is bounded and no link is lost.
+positions that its table left free deals it out to 15 tables of about 49 bits, then of 56, where at most a few hundred
+fingerprints can share a key. So memory is bounded and no link is lost.
+
+Three differing bits are nearly the same text: of two texts that share 0.8 of their five-word shingles, most differ in
+four to eleven. ``one_of_each`` therefore also searches, with the same tables for ``RADIUS`` bits, ``len(SEEDS)``
+fingerprints of a text's distinct words, which an edit moves five times less, and takes of these links those whose
+five-word shingles are similar by their bottom-``SKETCH`` MinHash sketches (exact up to that many shingles).
 
 Defined cases: a null text is empty, an empty text has fingerprint zero and links like any other; repeated rows and ids
 give a row each; a row without id takes part, but never names a component (a component without any id is null); extra
@@ -30,8 +35,15 @@ from pyspark.sql import functions as F
 
 from siltline.llm.common import free_name, raw_texts, slices, words, written
 from siltline.llm.components import components
+from siltline.llm.decontaminate import Hashes, rolled
 
 BITS = 64
+#: Tables below tables; at the last, buckets are searched whole.
+DEPTH = 3
+SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+RADIUS = 4
+SKETCH = 128
+EDGES = b".,;:!?|\"'()[]{}#*$%&<>"
 
 
 def simhash(raw: bytes, width: int = 3, seed: int = 42) -> bytes:
@@ -73,7 +85,7 @@ def kept(path: tuple[int, ...], radius: int = 3) -> int:
     before = kept(path[:-1], radius)
     free = [i for i in range(BITS) if not before >> i & 1]
     size = (1 << radius + 1) - 1
-    return before | sum(1 << i for n, i in enumerate(free) if ((n % size + 1) & path[-1]).bit_count() & 1)
+    return before | sum(1 << i for n, i in enumerate(free) if ((7 * n % size + 1) & path[-1]).bit_count() & 1)
 
 
 def signed(x: int) -> int:
@@ -135,7 +147,7 @@ def search(rows: DataFrame, radius: int, bucket: int) -> DataFrame:
                     yield links(x[at], x[at + lag])
             for i in np.flatnonzero(count > 4):
                 part = x[new[i] : new[i] + count[i]]
-                if count[i] > bucket:
+                if count[i] > bucket and len(path_of(int(path[new[i]]))) < DEPTH:
                     yield from deeper(int(path[new[i]]), part)
                 elif found := forest(part, radius):
                     yield links(np.concatenate([f[1] for f in found]), np.concatenate([f[0] for f in found]))
@@ -156,7 +168,7 @@ def search(rows: DataFrame, radius: int, bucket: int) -> DataFrame:
             if last:
                 yield from done(path[:last], key[:last], x[:last])
                 path, key, x, large = path[last:], key[last:], x[last:], None
-            if len(x) > bucket:
+            if len(x) > bucket and len(path_of(int(path[0]))) < DEPTH:
                 large = (int(path[0]), key[0])
                 yield from deeper(large[0], x)
                 path, key, x = path[:0], key[:0], x[:0]
@@ -173,7 +185,7 @@ def links(distinct: DataFrame, radius: int = 3, bucket: int = 512) -> DataFrame:
     tables = [F.struct(F.lit(v).cast("long").alias("path"), F.col("fp").bitwiseAND(F.lit(signed(kept((v,), radius)))).alias("key")) for v in range(1, 1 << radius + 1)]
     rows = distinct.select(F.explode(F.array(*tables)).alias("t"), F.col("fp").alias("x")).select("t.path", "t.key", "x")
     found = []
-    for _ in range(4):
+    for _ in range(DEPTH):
         level = written(search(rows, radius, bucket), "simhash-links")
         found.append(level.where("path = 0").select(F.col("x").alias("a"), F.col("key").alias("b")))
         rows = level.where("path > 0")
@@ -202,13 +214,83 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id, and of rows with this id the first.
+def likeness(raw: bytes, hashes: Hashes, shingle: int = 5) -> tuple[list[int], bytes]:
+    """Fingerprints of the distinct words, one for each of ``SEEDS``, and the sketch: the smallest hashes of the shingles."""
+    found = words(raw)
+    if not found:
+        return [0] * len(SEEDS), b""
+    own = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    bare = {w.strip(EDGES) for w in found}
+    base = np.fromiter(map(hashes.__getitem__, bare), np.uint64, len(bare))
+    prints = []
+    for seed in SEEDS:
+        x = base ^ np.uint64(seed)
+        for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ x >> np.uint64(30)) * np.uint64(by)
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, len(x), 1 << 15):
+            ones += np.unpackbits((x ^ x >> np.uint64(31))[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        prints.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
+    parts = rolled(own, shingle) if len(own) >= shingle else rolled(own, len(own))
+    return prints, np.unique(parts)[:SKETCH].tobytes()
+
+
+def similar(a: bytes, b: bytes) -> float:
+    """The share of shingles that two texts have in common, of all they have, by their sketches."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    # A sketch that isn't full has all of its text's hashes; beyond a full one's last, nothing is known.
+    last = min([z[-1] for z in (x, y) if len(z) == SKETCH], default=max(x[-1], y[-1]))
+    both = np.union1d(x[x <= last], y[y <= last])[:SKETCH]
+    return float(len(np.intersect1d(np.intersect1d(x, y), both)) / len(both))
+
+
+def alike(docs: DataFrame, row: str, text: str, least: float, bucket: int) -> DataFrame:
+    """Links (a, b) between rows (longs) whose texts are similar, as far as some fingerprint of their words is within ``RADIUS`` bits."""
+    names = [f"f{k}" for k in range(len(SEEDS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in slices(batches, 1):
+            made = [likeness(raw, hashes) for raw in raw_texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[0][k] for m in made], pa.int64()) for k in range(len(SEEDS))), pa.array([m[1] for m in made], pa.binary())], names=["row", *names, "sketch"])
+
+    prints = written(docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row long, {', '.join(f'{n} long' for n in names)}, sketch binary"), "simhash-likeness")
+    found = None
+    for name in names:
+        # One row stands for all with the same fingerprint; each of them has a link to it, to be verified like others.
+        first = written(prints.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("least"), F.count("*").alias("n")), "simhash-first")
+        near = links(first.select("fp"), RADIUS, bucket).distinct()
+        near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        same = prints.select("row", F.col(name).alias("fp")).join(first.where("n > 1"), "fp").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+        found = near.union(same) if found is None else found.union(near).union(same)
+    pairs = written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-pairs")
+    sketches = prints.select("row", "sketch")
+    both = pairs.join(sketches.withColumnRenamed("row", "a").withColumnRenamed("sketch", "sa"), "a").join(sketches.withColumnRenamed("row", "b").withColumnRenamed("sketch", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [similar(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(list(b.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), names=["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, bucket: int = 512, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group: that of its smallest id, and of rows with this id the first.
 
-    Rows are told apart by a row id that is written with them, so repeated or missing ids lose nothing else.
+    Groups join rows whose fingerprints link within ``radius`` bits, and rows whose texts are ``least`` alike in five-word
+    shingles. Rows are told apart by a row id that is written with them, so repeated or missing ids lose nothing else.
     """
     row = free_name(docs, "_row")
     held = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-documents")
-    found = near_duplicates(held.select(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text).alias("text")), id="key", text="text", **options)
-    stay = found.where("key = component_id").select(F.col("key.row").alias(row))
-    return held.join(stay, row, "left_semi").select(*docs.columns)
+    rows = held.select(F.col(row).alias("row"), F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text).alias("text"))
+    exact = written(near_duplicates(rows, id="row", text="text", width=width, radius=radius, bucket=bucket).select("row", F.col("component_id").alias("first")), "simhash-exact")
+    more = alike(rows, "row", "text", least, bucket)
+    joined = exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).union(more)
+    nodes = written(components(joined, name="simhash-groups"), "simhash-nodes")
+    keys = rows.select("row", "key").join(nodes.withColumnRenamed("node", "row"), "row")
+    chosen = keys.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
+    gone = nodes.select(F.col("node").alias("row")).join(chosen, "row", "left_anti").select(F.col("row").alias(row))
+    return held.join(gone, row, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from test_documents import brute_secrets, by_fingerprint, contained, counted, groups, prose
+from test_documents import alike, brute_secrets, contained, counted, prose
 
 import corpus_pipeline
 from siltline.llm import queries
@@ -46,16 +46,12 @@ def brute(rows, items):
         n_words, _, _, _, repeats = counted(row[1])
         if n_words >= 50 and 100 * repeats <= 50 * n_words:
             kept.append(row)
-    prints = by_fingerprint(kept)
-    of = groups({p: [(i is None, i or 0) for i in ids] for p, ids in prints.items()})
-    chosen, seen = [], set()
-    from test_documents import fingerprint
-
+    group, chosen = alike([row[1] or "" for row in kept]), {}
     for row in kept:
-        key = (row[0] is None, row[0] or 0)
-        if of[fingerprint(row[1])] == key and key not in seen:
-            seen.add(key)
-            chosen.append(row)
+        now = chosen.get(group[row[1] or ""])
+        if now is None or (row[0] is None, row[0] or 0) < (now[0] is None, now[0] or 0):
+            chosen[group[row[1] or ""]] = row
+    chosen = list(chosen.values())
     dirty = {n for n, _ in contained([r[1] for r in chosen], items)}
     return [(r[0], redacted(r[1])) for n, r in enumerate(chosen) if n not in dirty]
 
