@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
+#: Tables that a stage of the pipeline has made, for the next one to remove; None outside of stages.
+_of_stage: list[str] | None = None
+_stale: list[str] = []
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stage(f):
+    """A pipeline stage: its predecessor's result is written and read again by then, so what that made for itself goes."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _of_stage
+        for path in _stale:
+            place, files = _place(spark, path)
+            files.delete(place, True)
+        _stale.clear()
+        _of_stage = _stale
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _of_stage = None
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
@@ -37,8 +67,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    if _of_stage is not None:
+        _of_stage.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -146,17 +146,13 @@ def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
 
 def redacted(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", length: str | None = "n_chars", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with all spans of a text replaced by ``mark``; ``length``, if such a column is there, follows."""
-    row, cut = free_name(docs, "_row"), free_name(docs, "_cut")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "secrets-documents")
-    base = held.select(F.col(row).alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(text).alias("text"))
-    found = written(scan(base, ["id", "repository", "owner"]).where(F.size("found") > 0), "secrets-candidates")
-    out = spans(found, **options).where(F.size("spans") > 0).join(found.select("row", "id"), "row")
-    joined = held.join(out.select(F.col("id").alias(row), F.col("spans").alias(cut)), row, "left")
-
-    with_spans = joined.where(F.col(cut).isNotNull())
-    whole = joined.where(F.col(cut).isNull()).select(*docs.columns)
+    base = docs.select(F.struct(*docs.columns).alias("d"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(text).alias("text"))
+    held = written(scan(base, ["d", "repository", "owner"]), "secrets-documents")
+    # Only rows with candidates meet the corpus-wide result; all others stay where they are.
+    some = held.where(F.size("found") > 0).select("row", "d").join(spans(held, **options), "row")
+    whole = held.where(F.size("found") == 0).select("d.*")
     new = free_name(docs, "_new")
-    changed = with_spans.select(F.struct(*docs.columns).alias("d"), F.col(cut).alias("cut"), F.col(text).alias("t"))
+    changed = some.select("d", F.col("spans").alias("cut"), F.col(f"d.{text}").alias("t"))
     schema = changed.select("d", F.col("t").alias(new)).schema
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
