@@ -13,9 +13,12 @@ positions that its table left free deals it out to 15 tables of about 49 bits, t
 fingerprints can share a key. So memory is bounded and no link is lost.
 
 Three differing bits are nearly the same text: of two texts that share 0.8 of their five-word shingles, most differ in
-four to eleven. ``one_of_each`` therefore also searches, with the same tables for ``RADIUS`` bits, ``len(SEEDS)``
-fingerprints of a text's distinct words, which an edit moves five times less, and takes of these links those whose
-five-word shingles are similar by their bottom-``SKETCH`` MinHash sketches (exact up to that many shingles).
+four to eleven. ``one_of_each`` therefore also joins texts by their shingles, exactly. Shingles have one order (hash, but
+those that a sample of the rows shows to be frequent come last); two texts that are ``least`` alike share one of the first
+n - ceil(least n) + 1 of each. Rows with such a shingle in common are a bucket, and all pairs of a bucket are looked at but
+those that are in one group already. Of a bucket of more than ``GROUP`` rows each is first held against the least only;
+what that joins is a group, and the pairs across groups follow. Pairs that sizes or ``signature`` rule out (bounds, not
+estimates) are dropped; all others are verified by the distinct shingles of the whole texts, as words.
 
 Defined cases: a null text is empty, an empty text has fingerprint zero and links like any other; repeated rows and ids
 give a row each; a row without id takes part, but never names a component (a component without any id is null); extra
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +39,19 @@ from pyspark.sql import functions as F
 
 from siltline.llm.common import free_name, raw_texts, slices, words, written
 from siltline.llm.components import components
-from siltline.llm.decontaminate import Hashes, rolled
+from siltline.llm.decontaminate import Hashes, rolled, shingles
 
 BITS = 64
 #: Tables below tables; at the last, buckets are searched whole.
 DEPTH = 3
-SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-RADIUS = 4
 SKETCH = 128
-EDGES = b".,;:!?|\"'()[]{}#*$%&<>"
+#: Rows of a bucket of shingles whose pairs are all looked at in the first round.
+GROUP = 64
+#: Bits of a signature.
+SIGNATURE = 512
+#: Frequent shingles that are ordered last: those of at least ``OFTEN`` rows of one in ``SAMPLE``, at most ``HEAVY``. Any
+#: order finds the same pairs; this one keeps buckets small.
+SAMPLE, OFTEN, HEAVY = 16, 8, 1 << 16
 
 
 def simhash(raw: bytes, width: int = 3, seed: int = 42) -> bytes:
@@ -214,29 +222,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def likeness(raw: bytes, hashes: Hashes, shingle: int = 5) -> tuple[list[int], bytes]:
-    """Fingerprints of the distinct words, one for each of ``SEEDS``, and the sketch: the smallest hashes of the shingles."""
+def likeness(raw: bytes, hashes: Hashes, shingle: int = 5) -> tuple[np.ndarray, bytes]:
+    """The hashes of the distinct shingles, ascending, and the sketch: the smallest of them."""
     found = words(raw)
     if not found:
-        return [0] * len(SEEDS), b""
+        return np.zeros(0, np.uint64), b""
     own = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    bare = {w.strip(EDGES) for w in found}
-    base = np.fromiter(map(hashes.__getitem__, bare), np.uint64, len(bare))
-    prints = []
-    for seed in SEEDS:
-        x = base ^ np.uint64(seed)
-        for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            x = (x ^ x >> np.uint64(30)) * np.uint64(by)
-        ones = np.zeros(BITS, np.int64)
-        for i in range(0, len(x), 1 << 15):
-            ones += np.unpackbits((x ^ x >> np.uint64(31))[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        prints.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
-    parts = rolled(own, shingle) if len(own) >= shingle else rolled(own, len(own))
-    return prints, np.unique(parts)[:SKETCH].tobytes()
+    own = np.unique(rolled(own, min(shingle, len(own))))
+    return own, own[:SKETCH].tobytes()
 
 
 def similar(a: bytes, b: bytes) -> float:
-    """The share of shingles that two texts have in common, of all they have, by their sketches."""
+    """An estimate of the share of shingles that two texts have in common, by their sketches; it decides nothing."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
@@ -246,35 +243,193 @@ def similar(a: bytes, b: bytes) -> float:
     return float(len(np.intersect1d(np.intersect1d(x, y), both)) / len(both))
 
 
-def alike(docs: DataFrame, row: str, text: str, least: float, bucket: int) -> DataFrame:
-    """Links (a, b) between rows (longs) whose texts are similar, as far as some fingerprint of their words is within ``RADIUS`` bits."""
-    names = [f"f{k}" for k in range(len(SEEDS))]
+def signature(own: np.ndarray) -> np.ndarray:
+    """Parities of the hashes that share their lowest bits, as longs: two differ in no more bits than the sets in hashes."""
+    odd = np.bincount((own % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(own: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first hashes in the common order, of which texts that are ``least`` alike share one."""
+    known, place = heavy
+    most = len(own) - ceil(least * len(own) - 1e-9) + 1
+    if len(known) and len(own):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hot = known[at] == own
+        own = np.r_[own[~hot], own[hot][np.argsort(place[at[hot]])]]
+    return own[:most]
+
+
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles by hash, and their places in the order: the most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in slices(batches, 1):
-            made = [likeness(raw, hashes) for raw in raw_texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[0][k] for m in made], pa.int64()) for k in range(len(SEEDS))), pa.array([m[1] for m in made], pa.binary())], names=["row", *names, "sketch"])
-
-    prints = written(docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row long, {', '.join(f'{n} long' for n in names)}, sketch binary"), "simhash-likeness")
-    found = None
-    for name in names:
-        # One row stands for all with the same fingerprint; each of them has a link to it, to be verified like others.
-        first = written(prints.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("least"), F.count("*").alias("n")), "simhash-first")
-        near = links(first.select("fp"), RADIUS, bucket).distinct()
-        near = near.join(first.select(F.col("fp").alias("a"), F.col("least").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        same = prints.select("row", F.col(name).alias("fp")).join(first.where("n > 1"), "fp").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
-        found = near.union(same) if found is None else found.union(near).union(same)
-    pairs = written(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-pairs")
-    sketches = prints.select("row", "sketch")
-    both = pairs.join(sketches.withColumnRenamed("row", "a").withColumnRenamed("sketch", "sa"), "a").join(sketches.withColumnRenamed("row", "b").withColumnRenamed("sketch", "sb"), "b").select("a", "b", "sa", "sb")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [likeness(raw, hashes)[0] for raw in raw_texts(b.column(1))]
+            h, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    some = rows.select("row", "text").where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long")
+    top = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(HEAVY).collect()
+    known = np.array([r.h for r in top], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], (len(known) - np.arange(len(known)))[order]
+
+
+def bucketed(rows: DataFrame, least: float, most: int) -> DataFrame:
+    """Rows (h, row, n, label) by h: pairs (a, b) across labels; of buckets of more than ``most``, those with its first row, and its rows (a, -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, a, b)], names=["h", "a", "b"])
+
+        def pairs(got: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            (h, row, n, label) = got
+            at = (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+            if at.any():
+                yield table(np.zeros(at.sum()), np.maximum(row[x[at]], row[y[at]]), np.minimum(row[x[at]], row[y[at]]))
+
+        def large(got: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield table(got[0], got[1], np.full(got.shape[1], -1))
+            yield from pairs(np.c_[first, got], np.zeros(got.shape[1], np.int64), np.arange(1, got.shape[1] + 1))
+
+        def done(got: np.ndarray) -> Iterator[pa.RecordBatch]:
+            h = got[0]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            count = np.diff(np.r_[new, len(h)])
+            at, lag = np.flatnonzero(np.repeat(count, count) <= most), 1
+            while len(at):
+                at = at[at + lag < len(h)]
+                at = at[h[at] == h[at + lag]]
+                yield from pairs(got, at, at + lag)
+                lag += 1
+            for i in np.flatnonzero(count > most):
+                part = got[:, new[i] : new[i] + count[i]]
+                yield from large(part, part[:, :1])
+
+        held, first = np.zeros((4, 0), np.int64), None  # first: of the large bucket whose rows go on as they come
         for b in batches:
-            keep = [similar(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(list(b.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), names=["a", "b"])
+            held = np.c_[held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])]
+            if first is not None and held.shape[1]:
+                n = int(np.argmin(np.r_[held[0] == first[0, 0], False]))
+                if n:
+                    yield from large(held[:, :n], first)
+                    held = held[:, n:]
+            if not held.shape[1]:
+                continue
+            last = held.shape[1] - int(np.argmin(np.r_[(held[0] == held[0, -1])[::-1], False]))
+            if last:
+                yield from done(held[:, :last])
+                held, first = held[:, last:], None
+            if held.shape[1] > most:
+                first = held[:, :1]
+                yield from large(held, first)
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from done(held)
+
+    return rows.repartition("h").sortWithinPartitions("h", "row").mapInArrow(run, "h long, a long, b long")
+
+
+def crossed(rows: DataFrame, least: float) -> DataFrame:
+    """Rows (h, row, n, label, sign) by h: all pairs (a, b) across labels that sizes and signatures allow."""
+
+    def bucket(row: np.ndarray, n: np.ndarray, label: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Pairs within a label are never made: the rows of the largest one come last, and are only others' partners.
+        _, own, count = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((own, count[own]))
+        row, n, label, sign = row[order], n[order], label[order], sign[order]
+        for i in range(0, len(row) - int(count.max()), 64):
+            for j in range(i, len(row), 4096):
+                x, y = slice(i, min(i + 64, len(row))), slice(j, j + 4096)
+                fit = (label[x, None] != label[None, y]) & (np.minimum(n[x, None], n[None, y]) >= least * np.maximum(n[x, None], n[None, y]) - 1e-9)
+                p, q = np.nonzero(fit)
+                p, q = p + i, q + j
+                differ = np.bitwise_count(sign[p] ^ sign[q]).sum(axis=1, dtype=np.int64)
+                at = differ * (1 + least) <= (1 - least) * (n[p] + n[q]) + 1e-6
+                if at.any():
+                    a, b = row[p[at]], row[q[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for b in batches:
+            h = b.column(0).to_numpy()
+            for i, j in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]), strict=True):
+                if i == j:
+                    continue
+                if parts and h[i] != held:
+                    yield from bucket(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+                    parts = []
+                one, held = b.slice(i, j - i), h[i]
+                sign = one.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE // 64)
+                parts.append((one.column(1).to_numpy(), one.column(2).to_numpy().astype(np.int64), one.column(3).to_numpy(), sign))
+        if parts:
+            yield from bucket(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int = 5) -> DataFrame:
+    """The pairs (a, b) whose texts (row, text) share ``least`` of their shingles."""
+    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, set()
+        for whole in slices(batches, 2):
+            for b in slices(iter([whole]), 3):
+                keep = []
+                for x, y, row in zip(raw_texts(b.column(2)), raw_texts(b.column(3)), b.column(1).to_pylist(), strict=True):
+                    if row != last:
+                        last, other = row, set(shingles(words(y), shingle))
+                    own = set(shingles(words(x), shingle))
+                    keep.append(len(own & other) >= least * len(own | other) - 1e-9)
+                yield pa.RecordBatch.from_arrays(list(b.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).columns), names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def alike(docs: DataFrame, exact: DataFrame, least: float, most: int = GROUP) -> DataFrame:
+    """Links (a, b) that, with those of ``exact`` (row, first), join all rows (row, text) whose texts are ``least`` alike."""
+    heavy = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in slices(batches, 1):
+            own = [likeness(raw, hashes)[0] for raw in raw_texts(b.column(1))]
+            columns = [
+                pa.array([len(o) for o in own], pa.int32()),
+                pa.array([xxhash.xxh128_digest(o.tobytes()) for o in own], pa.binary()),
+                pa.array([signature(o) for o in own], pa.list_(pa.int64())),
+                pa.array([prefix(o, heavy.value, least).view(np.int64) for o in own], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["row", "n", "digest", "sign", "first"])
+
+    prints = written(docs.select("row", "text").mapInArrow(run, "row long, n int, digest binary, sign array<long>, first array<long>"), "simhash-shingles")
+    # One row stands for all with the same shingles.
+    least_of = prints.groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
+    same = written(prints.select("row", "digest").join(least_of, "digest").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")), "simhash-same")
+    ones = prints.where("n > 0").join(same.select(F.col("a").alias("row")), "row", "left_anti")
+    spread = ones.join(exact.withColumnRenamed("first", "label"), "row").select(F.explode("first").alias("h"), "row", "n", "label")
+    level = written(bucketed(spread, least, most), "simhash-candidates")
+
+    signs = prints.select("row", "n", "sign")
+    pairs = level.where("b >= 0").select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(signs.select(F.col("row").alias(end), F.col("n").alias(f"n{end}"), F.col("sign").alias(f"s{end}")), end)
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    tried = written(pairs.where(differ * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1e-6).select("a", "b"), "simhash-pairs")
+    links = same.union(written(verified(tried, docs, least), "simhash-alike"))
+    rows = level.where("b < 0").select("h", F.col("a").alias("row"))
+    if rows.isEmpty():
+        return links
+    nodes = written(components(exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).union(links), name="simhash-joined"), "simhash-labels")
+    rows = rows.join(nodes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
+    mixed = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+    rest = rows.join(mixed, "h").join(signs, "row").select("h", "row", "n", "label", "sign")
+    more = crossed(rest, least).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.union(written(verified(written(more, "simhash-crossed"), docs, least), "simhash-across"))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, bucket: int = 512, least: float = 0.8) -> DataFrame:
@@ -287,7 +442,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     held = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-documents")
     rows = held.select(F.col(row).alias("row"), F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text).alias("text"))
     exact = written(near_duplicates(rows, id="row", text="text", width=width, radius=radius, bucket=bucket).select("row", F.col("component_id").alias("first")), "simhash-exact")
-    more = alike(rows, "row", "text", least, bucket)
+    more = alike(rows, exact, least)
     joined = exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).union(more)
     nodes = written(components(joined, name="simhash-groups"), "simhash-nodes")
     keys = rows.select("row", "key").join(nodes.withColumnRenamed("node", "row"), "row")

@@ -130,6 +130,33 @@ def test_one_of_each(rows, docs):
     assert len(got) < len(set(groups(by_fingerprint(rows)).values()))  # more than three bits find
 
 
+def plain(r, n):
+    return " ".join(f"w{r.randrange(20_000)}" for _ in range(n))
+
+
+def test_near_copies_that_differ_from_the_least_row_of_their_bucket(spark):
+    r = random.Random(21)
+    a = plain(r, 300).split()
+    b = r.sample(a, len(a))  # the same words, so the same fingerprint of words
+    for k in range(20, 300, 60):
+        b2 = [*b[:k], *b[k : k + 2][::-1], *b[k + 2 :]] if k == 20 else [*b2[:k], *b2[k : k + 2][::-1], *b2[k + 2 :]]
+    a, b, b2 = map(" ".join, (a, b, b2))
+    assert jaccard(a, b) < 0.1 and jaccard(b, b2) >= 0.8 and (fingerprint(b) ^ fingerprint(b2)).bit_count() > 3
+    hot = "one line that very many of the texts have in common with each other"
+    texts = [a, b, b2, *(f"{hot} {plain(r, 20)}" for _ in range(300))]
+    base = plain(r, 60).split()  # large buckets, of near copies and of an outsider's near copies
+    for n in range(120):
+        base[n % 60] = f"x{n}"
+        texts.append(" ".join(base))
+    group = alike(texts)
+    out = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    first = {}
+    for n, t in enumerate(texts):
+        first.setdefault(group[t], n)
+    assert sorted(x.doc_id for x in out) == sorted(first.values())
+    assert {0, 1} <= {x.doc_id for x in out} and 2 not in {x.doc_id for x in out}
+
+
 def test_sketches_estimate_similarity():
     r, hashes = random.Random(9), simhash.Hashes()
     for n in (40, 120, 2000):
