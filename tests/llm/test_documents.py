@@ -157,6 +157,22 @@ def test_near_copies_that_differ_from_the_least_row_of_their_bucket(spark):
     assert {0, 1} <= {x.doc_id for x in out} and 2 not in {x.doc_id for x in out}
 
 
+def test_near_copies_with_added_cut_and_moved_passages(spark):
+    r, texts = random.Random(22), []
+    for n in range(60):
+        text = plain(r, r.choice([60, 200, 400])).split()
+        more = int(len(text) * (0.1, 0.2, 0.24)[n % 3])
+        changed = (text + plain(r, more).split(), text[: len(text) - more * 3 // 4], text[more:] + text[:more])[n // 3 % 3]
+        texts += [" ".join(text), " ".join(changed)]
+    group = alike(texts)
+    assert len(set(group.values())) < 75
+    out = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = {}
+    for n, t in enumerate(texts):
+        first.setdefault(group[t], n)
+    assert sorted(x.doc_id for x in out) == sorted(first.values())
+
+
 def test_sketches_estimate_similarity():
     r, hashes = random.Random(9), simhash.Hashes()
     for n in (40, 120, 2000):
