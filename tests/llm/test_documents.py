@@ -173,6 +173,17 @@ def test_near_copies_with_added_cut_and_moved_passages(spark):
     assert sorted(x.doc_id for x in out) == sorted(first.values())
 
 
+def test_long_texts_are_decided_by_all_their_shingles(spark):
+    r, texts = random.Random(23), []
+    for n in range(40):
+        text = plain(r, 1004)
+        # 1000 shingles of 1000 + more: on either side of 0.8
+        texts += [text, f"{text} {plain(r, (246, 254)[n % 2])}"]
+    assert all((jaccard(a, b) >= 0.8) == (n % 2 == 0) for n, (a, b) in enumerate(zip(texts[::2], texts[1::2], strict=True)))
+    out = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {n for n in range(80) if n % 2 == 0 or n % 4 == 3}
+
+
 def test_sketches_estimate_similarity():
     r, hashes = random.Random(9), simhash.Hashes()
     for n in (40, 120, 2000):
