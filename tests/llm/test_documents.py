@@ -488,6 +488,28 @@ def test_model_learns_and_is_causal():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_training_windows_are_a_share_of_the_corpus(spark):
+    r = random.Random(24)
+    texts = [plain(r, 640).replace(" ", "\t") for _ in range(100)]
+    base = spark.createDataFrame([(None, t) for t in texts], "id long, text string").repartition(3)
+    scorer = scoring.Scorer({}, np.ones((1 << 16) + 1, np.int64), 64, "word_bpe_49k.json")
+    every = sum(-(-(len(t.split()) + 1) // 32) for t in texts)
+    assert scoring.sample(base, scorer, 10**6, 32, 64_100).count() == every  # whatever is between words
+    assert 0.09 * every < scoring.sample(base, scorer, 5, 32, 64_100).count() < 0.16 * every
+
+
+def test_training_in_blocks_learns_and_does_not_depend_on_partitions(spark):
+    r = np.random.default_rng(3)
+    parts = [(int(r.integers(1 << 62)), ((np.arange(17) + k) % 5).astype(np.uint16).tobytes()) for k in r.integers(0, 5, 1200)]
+    x, y, scored = scoring.framed([p for _, p in parts], 16)
+    scores = []
+    for n in (1, 5):
+        m = scoring.Model(5, 16, 8)
+        assert scoring.trained(m, spark.createDataFrame(parts, "h long, part binary").repartition(n), 5, block=400) == 1200
+        scores.append(m.log10(x, y, scored).mean())
+    assert scores[0] > -0.2 and abs(scores[0] - scores[1]) < 1e-4
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     bad = [w.decode() for w in (*toxicity.INSULTS, *toxicity.CONTEMPT)]
