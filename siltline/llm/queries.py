@@ -40,7 +40,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.secrets(table(spark, sf_dir, "documents"))
+    out = secrets.secrets(table(spark, sf_dir, "documents"), most_owners=secrets.WIDELY, most_repositories=secrets.WIDELY)
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.withColumn("spans", listed)
 

@@ -44,6 +44,9 @@ WEAK = (
     ("url", r"[a-z][a-z0-9+.]{0,15}://[^\s/:@]{1,64}:([^\s/@]{6,128})@", 6),
     ("mixed", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,})(?![A-Za-z0-9+/_-])", 24),
 )
+#: Distinct owners, and repositories, up to which the registered query and the pipeline take a value for live: a leaked
+#: document and its copies in a few other sources stay under it, an example copied about doesn't.
+WIDELY = 10
 KINDS = {kind: n for n, (kind, _, _) in enumerate((*BASE, *WEAK))}
 FINDERS = [(kind, re.compile(pattern), least) for kind, pattern, least in (*BASE, *WEAK)]
 #: Without one of these a text can't match the kind; looked for in the text without upper case.

@@ -445,6 +445,20 @@ def test_secrets(spark):
     assert secrets.secrets(table.limit(0)).collect() == []
 
 
+def test_a_leak_copied_to_a_second_source_stays_a_secret(spark, tmp_path):
+    import corpus_pipeline
+    from siltline.llm import queries
+
+    live, example = "use Zx9Kq2Lm8Rt4Vb6Nw1Yp3Hd5 here", "use Qa7Ws3Ed9Rf5Tg1Yh8Uj2Ik4 here"
+    rows = [(0, live, "s0"), (1, live, "s1"), *((2 + n, example, f"s{n}") for n in range(40))]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g.spans for g in queries.op8_secret_scans(spark, str(tmp_path)).collect()}
+    assert all(got[n] == "mixed:4:28" for n in (0, 1)) and not any(got[n] for n in range(2, 42))
+    cut = {g.doc_id: g.text for g in corpus_pipeline.secret_scans(spark, docs, str(tmp_path)).collect()}
+    assert cut[0] == cut[1] == "use [SECRET] here" and cut[2] == example
+
+
 def test_scoring(spark, rows, docs):
     out = scoring.score(docs, train_windows=200, epochs=2, heavy=64).collect()
     assert len(out) == len(rows)
