@@ -118,7 +118,8 @@ def reduce(stock: Stock) -> None:
                 stock.fix(size)
             else:
                 pair, second, three = best_pairs(stock, room, size) if one < room else (0, 0, 0)
-                if one == room or pair <= one:
+                # A partner alone is safe only if no three pieces could take its place, nor any two do better.
+                if one == room or (pair <= one and three > room):
                     stock.fix(size, one)
                 elif three > room and (two := stock.largest(room - one, size, one)) and two >= second:
                     stock.fix(size, one, two)

@@ -124,6 +124,14 @@ def test_reduction_never_costs_a_bin():
         assert stock.sequences + fewest(left, 12) == fewest(items, 12), items
 
 
+def test_reduction_leaves_a_pair_that_three_pieces_could_replace():
+    items = [60, 39, 39, 22, 14, 13, 13]
+    stock = packing.Stock({s: items.count(s) for s in items}, 100)
+    packing.reduce(stock)
+    left = [s for s in range(1, 101) for _ in range(stock.left[s])]
+    assert stock.sequences + fewest(left, 100) == 2 == fewest(items, 100)
+
+
 def test_plan_refuses_pieces_that_do_not_fit():
     with pytest.raises(ValueError):
         packing.plan({21: 1}, 20)
