@@ -51,7 +51,7 @@ GROUP = 64
 SIGNATURE = 512
 #: Frequent shingles that are ordered last: those of at least ``OFTEN`` rows of one in ``SAMPLE``, at most ``HEAVY``. Any
 #: order finds the same pairs; this one keeps buckets small.
-SAMPLE, OFTEN, HEAVY = 16, 8, 1 << 16
+SAMPLE, OFTEN, HEAVY = 8, 3, 1 << 17
 
 
 def simhash(raw: bytes, width: int = 3, seed: int = 42) -> bytes:
@@ -278,7 +278,12 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucketed(rows: DataFrame, least: float, most: int) -> DataFrame:
-    """Rows (h, row, n, label) by h: pairs (a, b) across labels; of buckets of more than ``most``, those with its first row, and its rows (a, -1)."""
+    """Rows (h, row, n, label) by h: pairs (a, b) across labels; of buckets of more than ``most``, those with its first row, and its rows (a, -1).
+
+    ``n`` is the size, times 2^31, and the place of h. Texts of x and y shingles that are alike share least / (1 + least) (x + y)
+    or more, so the first that they share has no more than x, and y, less that many before it: other pairs are left out.
+    """
+    share = least / (1 + least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -286,7 +291,9 @@ def bucketed(rows: DataFrame, least: float, most: int) -> DataFrame:
 
         def pairs(got: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
             (h, row, n, label) = got
-            at = (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+            place, n = n & (1 << 31) - 1, n >> 31
+            both = share * (n[x] + n[y]) - 1e-6
+            at = (label[x] != label[y]) & (n[x] - place[x] >= both) & (n[y] - place[y] >= both)
             if at.any():
                 yield table(np.zeros(at.sum()), np.maximum(row[x[at]], row[y[at]]), np.minimum(row[x[at]], row[y[at]]))
 
@@ -373,6 +380,8 @@ def crossed(rows: DataFrame, least: float) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int = 5) -> DataFrame:
     """The pairs (a, b) whose texts (row, text) share ``least`` of their shingles."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = written(texts.select("row", "text").join(ends, "row", "left_semi"), "simhash-texts")
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +420,8 @@ def alike(docs: DataFrame, exact: DataFrame, least: float, most: int = GROUP) ->
     least_of = prints.groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
     same = written(prints.select("row", "digest").join(least_of, "digest").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")), "simhash-same")
     ones = prints.where("n > 0").join(same.select(F.col("a").alias("row")), "row", "left_anti")
-    spread = ones.join(exact.withColumnRenamed("first", "label"), "row").select(F.explode("first").alias("h"), "row", "n", "label")
+    spread = ones.join(exact.withColumnRenamed("first", "label"), "row").select(F.posexplode("first").alias("place", "h"), "row", "n", "label")
+    spread = spread.select("h", "row", (F.col("n").cast("long") * (1 << 31) + F.col("place")).alias("n"), "label")
     level = written(bucketed(spread, least, most), "simhash-candidates")
 
     signs = prints.select("row", "n", "sign")
