@@ -45,6 +45,8 @@ BITS = 64
 #: Tables below tables; at the last, buckets are searched whole.
 DEPTH = 3
 SKETCH = 128
+#: Words whose hashes a task of near-dedup keeps: workers hold on to the memory from stage to stage.
+CACHE = 100_000
 #: Rows of a bucket of shingles whose pairs are all looked at in the first round.
 GROUP = 64
 #: Bits of a signature.
@@ -265,6 +267,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+        hashes.most = CACHE
         for b in slices(batches, 1):
             own = [likeness(raw, hashes)[0] for raw in raw_texts(b.column(1))]
             h, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
@@ -405,6 +408,7 @@ def alike(docs: DataFrame, exact: DataFrame, least: float, most: int = GROUP) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+        hashes.most = CACHE
         for b in slices(batches, 1):
             own = [likeness(raw, hashes)[0] for raw in raw_texts(b.column(1))]
             columns = [
