@@ -23,33 +23,39 @@ from siltline.llm.common import ascii_lower
 
 #: Fixed by the query's contract.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Words of the small labelled table, which pairs each with hosts and paths of the same kinds on both sides.
+#: Words of the small labelled table, which has hosts and paths of the same shapes on both sides, so that neither the shape
+#: nor a preponderance of one side decides about a url.
 BLOCKED = ("casino", "poker", "bets", "jackpot", "pills", "pharmacy", "adult", "xxx", "ads", "track", "clicks", "popup", "loans", "payday", "warez", "cracks", "torrents", "spam")
 ALLOWED = ("wiki", "library", "museum", "school", "research", "science", "news", "weather", "recipes", "garden", "history", "travel", "forum", "docs", "music", "sports", "village", "journal")
-
-
-SYLLABLES = ("th", "er", "in", "on", "an", "st", "re", "ion")
+#: Names that say nothing of a site; hosts and paths of both kinds hold them, and a few hosts on their own are allowed.
+PLAIN = (
+    "river", "mountain", "bakery", "orchard", "carpenter", "lantern", "harbour", "meadow", "bicycle", "kitchen", "painter",
+    "compass", "bridge", "station", "valley", "cottage", "teacher", "planet", "window", "saddle", "copper", "juniper", "walnut",
+    "falcon", "ember", "glacier", "pottery", "quartz", "willow", "tailor", "archive", "gallery",
+)
 
 
 def seed_labels(spark: SparkSession) -> DataFrame:
-    """(url, blocked): six urls of each word, and of hosts that say nothing, which are allowed."""
+    """(url, blocked): eight urls of each word, alone and beside plain names, and 16 of plain names alone, which are allowed."""
     rows = [("", 0)]
-    for n in range(64):
-        name = SYLLABLES[n % 8] + SYLLABLES[n // 8] + SYLLABLES[(n * 3 + 1) % 8]
-        sub, top, tongue = ("", "www.", "m.", "blog.")[n % 4], ("org", "net")[n // 4 % 2], ("en", "de")[n // 8 % 2]
-        rows.append((f"http{'s' * (n % 3 > 0)}://{sub}{name}.example.{top}/{tongue}/{n * 137}{('', '/', '.html')[n % 3]}", 0))
     for blocked, names in ((1, BLOCKED), (0, ALLOWED)):
         for n, word in enumerate(names):
-            other = names[(n + 5) % len(names)]
+            other, plain, second = names[(n + 5) % len(names)], PLAIN[(n * 7 + blocked * 3) % len(PLAIN)], PLAIN[(n * 5 + 1) % len(PLAIN)]
             top = ("org", "net", "com")[n % 3]
             rows += [
                 (f"https://{word}.example.{top}/en/{n}", blocked),
                 (f"http://www.{word}-{other}.example.org/de/{n * 37}.html", blocked),
                 (f"https://m.{other}{word}.example.net/en/{n * 53}?page=2", blocked),
                 (f"https://blog.the{word}.example.net/de/{n * 71}/", blocked),
-                (f"https://www.inand.example.org/{word}/{n * 11}", blocked),
-                (f"http://onther.example.net/en/{other}-{word}.html", blocked),
+                (f"https://www.{plain}.example.org/{word}/{n * 11}", blocked),
+                (f"http://{second}.example.net/en/{other}-{word}.html", blocked),
+                (f"http://{word}-{plain}.example.com/fr/{n * 91}.html", blocked),
+                (f"https://{second}{word}.example.org/es/{n * 13}", blocked),
             ]
+    for n in range(16):
+        sub, top, tongue = ("", "www.", "m.", "blog.")[n % 4], ("org", "net", "com")[n % 3], ("en", "de", "fr", "es")[n // 4]
+        second = PLAIN[(n * 3 + 2) % len(PLAIN)] if n % 2 else ""
+        rows.append((f"http{'s' * (n % 3 > 0)}://{sub}{PLAIN[n]}{second}.example.{top}/{tongue}/{n * 137}{('', '/', '.html')[n % 3]}", 0))
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
