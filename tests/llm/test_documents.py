@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ import xxhash
 
 from siltline.llm import decontaminate, packing, quality, scoring, secrets, simhash, toxicity, urls
 from siltline.llm.components import components
+from siltline.llm.tokens import word_ids
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, rank string, _row int, _q int, row int"
@@ -513,15 +515,66 @@ def test_training_windows_are_a_share_of_the_corpus(spark):
     r = random.Random(24)
     texts = [plain(r, 640).replace(" ", "\t") for _ in range(100)]
     base = spark.createDataFrame([(None, t) for t in texts], "id long, text string").repartition(3)
-    scorer = scoring.Scorer({}, np.ones((1 << 16) + 1, np.int64), 64, "word_bpe_49k.json")
-    every = sum(-(-(len(t.split()) + 1) // 32) for t in texts)
-    assert scoring.sample(base, scorer, 10**6, 32, 64_100).count() == every  # whatever is between words
-    assert 0.09 * every < scoring.sample(base, scorer, 5, 32, 64_100).count() < 0.16 * every
+    ids = word_ids("word_bpe_49k.json")
+    every = sum(len(ids.text(t)) // 4 + 1 for t in texts)
+    held = [np.frombuffer(w.part, np.uint32) for w in scoring.sample(base, "word_bpe_49k.json", 1.0, 32).collect()]
+    assert sum(len(w) - 1 for w in held) == every and max(map(len, held)) == 33  # every id is learnt once, whatever is between words
+    some = sum(len(w.part) // 4 - 1 for w in scoring.sample(base, "word_bpe_49k.json", 1 / 8, 32).collect())
+    assert 0.09 * every < some < 0.16 * every
+
+
+def test_score_is_the_model_of_all_ids(spark):
+    """Every text's score, id by id, by plain loops over the fitted weights and a softmax over the whole vocabulary."""
+    r = random.Random(31)
+    said = ["", None, "Unbelievable internationalization", "tab\tand\nline", "x" * 400, *(plain(r, n) for n in (1, 7, 40, 90))]
+    table = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(2)
+    base = table.selectExpr("doc_id AS id", "text")
+    model = scoring.fitted(base, scoring.counts(base), "word_bpe_49k.json", 8, 100, 2, 1.0)
+    got = {x.doc_id: x.score for x in scoring.score(table, model=model, stride=6).collect()}
+    size, ids, w = model.size, word_ids("word_bpe_49k.json"), {k: model.part(k).astype(float) for k in model.at}
+    sizes = scoring.banded(model.ids)
+    starts = np.cumsum([0, *sizes])
+    far = w["p"][:, :size].ravel()
+
+    def next_(before):
+        e = [w["e"][i, :size] for i in before]
+        q = e[-1] @ w["q"][:, :size] / math.sqrt(size)
+        z = np.array([q @ (x @ w["k"][:, :size]) + far[len(e) - 1 - n] for n, x in enumerate(e)])
+        a = np.exp(z - z.max())
+        a /= a.sum()
+        h = np.r_[e[-1] + sum(p * (x @ w["v"][:, :size]) for p, x in zip(a, e, strict=True)), 1.0]
+        of_class = np.exp(w["c"] @ h)
+        of_class /= of_class.sum()
+        p = np.exp(w["o"] @ h)
+        p = np.concatenate([of_class[c] * p[i:j] / p[i:j].sum() for c, (i, j) in enumerate(zip(starts, starts[1:], strict=False))])
+        assert abs(p.sum() - 1) < 1e-9
+        return p
+
+    by_rank = np.argsort(model.rank)
+    assert np.array_equal(model.rank[by_rank], np.arange(model.ids)) and len(by_rank) == sum(sizes)
+    for n, text in enumerate(said):
+        own = [model.ids - 1, *array("I", ids.text(text or "")), model.ids - 1]
+        total = 0.0
+        for t in range(1, len(own)):
+            start = 0 if t <= 8 else -(-(t - 8) // 6) * 6  # the window that scores it
+            total += math.log10(next_(own[start:t])[model.rank[own[t]]])
+        assert got[n] == pytest.approx(total, rel=1e-4, abs=1e-3), text
+
+
+def test_model_beats_counts_on_held_out_texts(spark):
+    r = random.Random(8)
+    said = [plain(r, 60) for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(2)
+    base = table.selectExpr("doc_id AS id", "text")
+    known = scoring.counts(base)
+    untrained = scoring.Model(len(often := scoring.id_counts(known, "word_bpe_49k.json")), counts=often)
+    total = lambda rows: sum(x.score for x in rows if x.held_out)
+    assert total(scoring.score(table, train_windows=600).collect()) > 0.9 * total(scoring.score(table, model=untrained).collect())
 
 
 def test_training_in_blocks_learns_and_does_not_depend_on_partitions(spark):
     r = np.random.default_rng(3)
-    parts = [(int(r.integers(1 << 62)), ((np.arange(17) + k) % 5).astype(np.uint16).tobytes()) for k in r.integers(0, 5, 1200)]
+    parts = [(int(r.integers(1 << 62)), ((np.arange(17) + k) % 5).astype(np.uint32).tobytes()) for k in r.integers(0, 5, 1200)]
     x, y, scored = scoring.framed([p for _, p in parts], 16)
     scores = []
     for n in (1, 5):
