@@ -543,8 +543,9 @@ def test_score_is_the_model_of_all_ids(spark):
         a = np.exp(z - z.max())
         a /= a.sum()
         h = np.r_[e[-1] + sum(p * (x @ w["v"][:, :size]) for p, x in zip(a, e, strict=True)), 1.0]
-        of_class = np.exp(w["c"] @ h)
-        of_class /= of_class.sum()
+        of_group, of_class = np.exp(w["g"] @ h), np.exp(w["c"] @ h)
+        of_group /= of_group.sum()
+        of_class = np.concatenate([of_group[g] * of_class[i : i + 11] / of_class[i : i + 11].sum() for g, i in enumerate(range(0, len(of_class), 11))])
         p = np.exp(w["o"] @ h)
         p = np.concatenate([of_class[c] * p[i:j] / p[i:j].sum() for c, (i, j) in enumerate(zip(starts, starts[1:], strict=False))])
         assert abs(p.sum() - 1) < 1e-9
