@@ -9,6 +9,11 @@ Context: where a pre-token starts, what follows doesn't depend on what came befo
 before the edit (none looks further ahead than that) and stops where a new pre-token starts on an old one's start after
 the edit.
 
+Trees are kept: ``trees`` writes a row for each document, with its pre-tokens leaf by leaf and each leaf's characters and
+tokens, and ``edited`` takes such rows, applies edits and gives rows of the same kind, from which the next edits go on. Of a
+row it reads the sums; of the leaves, only those that an edit touches are cut into their pre-tokens and encoded. All others
+go on as they are. What was encoded is counted (``n_encoded``), and so can be held against the size of an edit.
+
 A byte-level vocabulary encodes each pre-token apart, so counts are sums over pre-tokens and equal those of encoding the
 whole text.
 
@@ -24,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from siltline.llm.common import slices
+from siltline.llm.common import slices, written
 from siltline.llm.tokens import PieceCounts, piece_counts
 
 #: Pre-tokens before an edit that it can change: a run of white space gives its last character to the next one, and a
@@ -76,14 +82,66 @@ class Tree:
         return int(out[0]), int(out[1])
 
 
+class Leaf:
+    """Pre-tokens, cut out of the leaf's text when they are asked for."""
+
+    __slots__ = ("pieces", "said", "sizes")
+
+    def __init__(self, pieces: list[str] | None, said: str = "", sizes: bytes = b""):
+        self.pieces, self.said, self.sizes = pieces, said, sizes
+
+    def cut(self) -> list[str]:
+        if self.pieces is None:
+            ends = np.cumsum(np.frombuffer(self.sizes, "<u4")).tolist()
+            self.pieces = [self.said[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        return self.pieces
+
+    def stored(self) -> tuple[str, bytes]:
+        if self.pieces is None:
+            return self.said, self.sizes
+        return "".join(self.pieces), np.array([len(p) for p in self.pieces], "<u4").tobytes()
+
+
+class Leaves(list):
+    """Lists of pre-tokens, of which stored ones are cut when they are read."""
+
+    def __getitem__(self, k):
+        found = list.__getitem__(self, k)
+        return [x.cut() for x in found] if isinstance(k, slice) else found.cut()
+
+    def __iter__(self):
+        return (x.cut() for x in list.__iter__(self))
+
+    def __setitem__(self, k: int, pieces: list[str]) -> None:
+        list.__setitem__(self, k, Leaf(pieces))
+
+    def stored(self) -> list[tuple[str, bytes]]:
+        return [x.stored() for x in list.__iter__(self)]
+
+
 class Counted:
     """A text whose number of tokens follows its edits. ``encoded`` sums up the characters that were encoded."""
 
     def __init__(self, text: str, counts: PieceCounts):
-        self.counts, self.encoded = counts, len(text)
-        found = counts.find(text)
-        self.leaves = [found[i : i + LEAF] for i in range(0, len(found), LEAF)] or [[]]
-        self.tree = Tree([sum(map(len, x)) for x in self.leaves], [sum(map(counts.__getitem__, x)) for x in self.leaves])
+        self.counts, self.encoded, self.edits = counts, len(text), 0
+        self.deal(counts.find(text))
+
+    @classmethod
+    def of_stored(cls, leaves: list[tuple[str, bytes]], chars: list[int], tokens: list[int], counts: PieceCounts) -> Counted:
+        """What ``stored`` gave; nothing is encoded, and no leaf is cut."""
+        out = object.__new__(cls)
+        out.counts, out.encoded, out.edits, out.leaves, out.tree = counts, 0, 0, Leaves(Leaf(None, *x) for x in leaves), Tree(chars, tokens)
+        return out
+
+    def stored(self) -> tuple[list[tuple[str, bytes]], list[int], list[int]]:
+        own = self.tree.sums[self.tree.size : self.tree.size + len(self.leaves)]
+        return self.leaves.stored(), own[:, 0].tolist(), own[:, 1].tolist()
+
+    def deal(self, pieces: list[str]) -> None:
+        """Leaves and tree anew."""
+        found = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self.leaves = Leaves(Leaf(x) for x in found)
+        self.tree = Tree([sum(map(len, x)) for x in found], [sum(map(self.counts.__getitem__, x)) for x in found])
 
     @property
     def tokens(self) -> int:
@@ -109,6 +167,7 @@ class Counted:
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replaces the characters from ``start`` to ``stop``."""
+        self.edits += 1
         start = min(max(0, start), self.chars)
         stop = min(max(start, stop), self.chars)
         first, at = self.tree.find(max(0, start - 1))
@@ -173,37 +232,82 @@ class Counted:
             self.leaves[k] = part
             self.tree.set(k, sum(map(len, part)), sum(map(self.counts.__getitem__, part)))
         if share > 64 * LEAF:
-            all_ = [p for x in self.leaves for p in x]
-            self.leaves = [all_[i : i + LEAF] for i in range(0, len(all_), LEAF)] or [[]]
-            self.tree = Tree([sum(map(len, x)) for x in self.leaves], [sum(map(self.counts.__getitem__, x)) for x in self.leaves])
+            self.deal([p for x in self.leaves for p in x])
 
 
-def token_counts(docs: DataFrame, edits, id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(id, n_chars, n_tokens, n_edits, n_chars_edited, n_tokens_edited, n_encoded) for every row of ``docs``.
+#: A stored tree: the texts of its leaves, the sizes of each leaf's pre-tokens (unsigned 32-bit numbers), and the leaves' sums.
+STORED = "leaves array<string>, sizes array<binary>, chars array<int>, tokens array<int>, n_encoded long, n_edits long"
+KINDS = [pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+
+
+def rows_of(docs: list[Counted]) -> list[pa.Array]:
+    """The columns ``STORED``."""
+    held = [d.stored() for d in docs]
+    columns = [[x for x, _ in h[0]] for h in held], [[x for _, x in h[0]] for h in held], [h[1] for h in held], [h[2] for h in held], [d.encoded for d in docs], [d.edits for d in docs]
+    return [pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)]
 
-    ``edits`` is an array column of structs (start, stop, new), applied in order, each to the text as it then is; or a
-    function from (id, characters) to a list of such triples. ``n_encoded`` is how many characters the edits encoded.
+
+def wide(schema: StructType, more: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
+def trees(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """The columns ``keep`` (``doc_id``) and a stored tree for every row of ``docs``; all its characters are encoded."""
+    chosen = docs.select(*(["doc_id"] if keep is None else keep), F.col(text).alias("_text"))
+    n, schema = len(chosen.columns) - 1, wide(chosen.drop("_text").schema, STORED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = piece_counts(vocabulary)
+        for b in slices(batches, n):
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *rows_of([Counted(x or "", counts) for x in b.column(n).to_pylist()])], names=schema.names)
+
+    return chosen.mapInArrow(run, schema)
+
+
+def loaded(b: pa.RecordBatch, at: int, counts: PieceCounts) -> Iterator[Counted]:
+    """The trees of a batch whose columns ``STORED`` begin at ``at``."""
+    for leaves, sizes, chars, tokens in zip(*(b.column(at + k).to_pylist() for k in range(4)), strict=True):
+        yield Counted.of_stored(list(zip(leaves, sizes, strict=True)), chars, tokens, counts)
+
+
+def edited(stored: DataFrame, edits, id: str = "doc_id", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """``stored`` trees after edits; ``n_edits`` is their number, ``n_encoded`` how many characters they encoded.
+
+    ``edits`` is a column of ``stored`` with an array of structs (start, stop, new), applied in order, each to the text as it
+    then is; or a function from (id, characters) to a list of such triples.
     """
-    column = F.col(edits) if isinstance(edits, str) else F.lit(None).cast("array<struct<start:long,stop:long,new:string>>")
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), column.alias("edits"))
-    numbers = ("n_chars", "n_tokens", "n_edits", "n_chars_edited", "n_tokens_edited", "n_encoded")
-    schema = base.select("id", *(F.lit(0).cast("long").alias(c) for c in numbers)).schema
-    of = None if isinstance(edits, str) else edits
+    columns = [c for c in stored.columns if c not in StructType.fromDDL(STORED).names]
+    schema = wide(stored.select(*columns).schema, STORED)
+    n, place, of = len(columns), columns.index(edits if isinstance(edits, str) else id), None if isinstance(edits, str) else edits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(vocabulary)
-        for b in slices(batches, 1):
-            rows = []
-            for key, said, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                doc = Counted(said or "", counts)
-                before = doc.chars, doc.tokens, doc.encoded
-                todo = of(key, doc.chars) if of else [(e["start"] or 0, e["stop"] or 0, e["new"]) for e in own or () if e]
-                for start, stop, new in todo:
+        for b in slices(batches, n):
+            docs = []
+            for doc, own in zip(loaded(b, n, counts), b.column(place).to_pylist(), strict=True):
+                for start, stop, new in of(own, doc.chars) if of else [(e["start"] or 0, e["stop"] or 0, e["new"]) for e in own or () if e]:
                     doc.edit(start, stop, new or "")
-                rows.append((before[0], before[1], len(todo), doc.chars, doc.tokens, doc.encoded - before[2]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=schema.names)
+                docs.append(doc)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *rows_of(docs)], names=schema.names)
+
+    return stored.select(*columns, *StructType.fromDDL(STORED).names).mapInArrow(run, schema)
+
+
+def total(sums: str) -> Column:
+    """The root's sum."""
+    return F.aggregate(sums, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    return base.mapInArrow(run, schema).withColumnRenamed("id", id)
+
+def token_counts(docs: DataFrame, edits, id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """(id, n_chars, n_tokens, n_edits, n_chars_edited, n_tokens_edited, n_encoded) for every row of ``docs``.
+
+    The trees of all documents are written once and edited from there (see ``edited``); counts are their roots' sums.
+    """
+    keep = [F.col(id).alias("id"), *([F.col(edits).alias("edits")] if isinstance(edits, str) else [])]
+    stored = written(trees(docs.select(*keep, F.col(text).alias("text")), keep=["id", *(["edits"] if isinstance(edits, str) else [])], vocabulary=vocabulary), "edits-trees")
+    stored = stored.withColumns({"n_chars": total("chars"), "n_tokens": total("tokens")})
+    done = edited(stored, "edits" if isinstance(edits, str) else edits, "id", vocabulary)
+    return done.select(F.col("id").alias(id), "n_chars", "n_tokens", "n_edits", total("chars").alias("n_chars_edited"), total("tokens").alias("n_tokens_edited"), "n_encoded")
 
 
 def revision(id: int | None, chars: int) -> list[tuple[int, int, str]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.llm import chat, decontaminate, edits, packing, quality, scoring, secrets, simhash, toxicity, urls
@@ -40,9 +40,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.secrets(table(spark, sf_dir, "documents"), most_owners=secrets.WIDELY, most_repositories=secrets.WIDELY)
-    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return out.withColumn("spans", listed)
+    docs = table(spark, sf_dir, "documents")
+    out = secrets.secrets(docs, repository=secrets.repository_of(docs), most_owners=secrets.WIDELY, most_repositories=secrets.WIDELY)
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    return out.withColumn("spans", listed("spans")).withColumn("live", listed("live"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Base kinds (always reported): ``assign`` (a credential name, an assignment and a value), ``access`` (access key ids) and
 ``hex`` (long hexadecimal strings). The method looks for weaker candidates as well: prefixed service tokens, private key
-blocks, credentials in urls, and long mixed-class strings. Every candidate's value, base or not, is hashed, and hashes are
+blocks, credentials in urls, bearer and signed web tokens, random-looking values of names that the base kinds don't know, and
+long mixed-class strings; none of them inside a base match. Every candidate's value, base or not, is hashed, and hashes are
 aggregated over the whole corpus by distinct owners and repositories. A weak candidate becomes a span if its value belongs
-to few owners (``most_owners``) and so looks live; what many owners share is a copied example. The base spans that look
-live by the same test are counted as such.
+to few owners (``most_owners``) and repositories (``most_repositories``) and so looks live; what many share is a copied
+example. The base spans that look live by the same test are told apart in ``live``.
 
 Aggregation is by (hash, repository, owner) and then by hash, so that a value that a third of all rows hold has been
-reduced to its distinct owners before the last shuffle. Texts are never shuffled: candidates are written to the shared
-folder, with a row id, as they are found; text is only joined again where it is redacted, and then only of rows with spans.
+reduced to its distinct owners before the last shuffle; candidates of such values meet a broadcast of them, and the others
+are joined by hash. Texts are never shuffled: candidates are written to the shared folder, with a row id, as they are found;
+text is only joined again where it is redacted, and then only of rows with spans.
 
-Places are code points, ends exclusive. Defined cases: a null text is empty; a null repository or owner is an owner of its
-own kind (one for all such rows); repeated rows and ids give a row each; extra columns are ignored, or kept by
+Places are code points, ends exclusive. Every pattern looks at a character a bounded number of times, whatever the text, and
+none has an upper bound on what it matches. Defined cases: a null text is empty; a null repository or owner is an owner of
+its own kind (one for all such rows); repeated rows and ids give a row each; extra columns are ignored, or kept by
 ``redacted``; an empty table gives an empty one.
 """
 
@@ -20,16 +23,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltline.llm.common import free_name, slices, written
+from siltline.llm.common import free_name, hot_keys, joined, slices, written
 
 #: Fixed by the query's contract, in the order in which kinds are listed. Groups: the value's.
 BASE = (
@@ -40,9 +45,13 @@ BASE = (
 )
 WEAK = (
     ("service", r"((?:gh[pousr]_|glpat-|xox[abpr]-|sk_live_|rk_live_|AIza|ya29\.|npm_|SG\.)[A-Za-z0-9_.-]{16,})", 20),
-    ("key", r"(-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END)", 48),
-    ("url", r"[a-z][a-z0-9+.]{0,15}://[^\s/:@]{1,64}:([^\s/@]{6,128})@", 6),
-    ("mixed", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,})(?![A-Za-z0-9+/_-])", 24),
+    ("key", r"(-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[A-Za-z0-9+/=\s]++-----END)", 48),
+    # The scheme, before the match, is looked at afterwards.
+    ("url", r"://[^\s/:@]++:([^\s/@]++)@", 6),
+    ("bearer", r"[Bb]earer\s++([A-Za-z0-9+/_.=~-]++)", 16),
+    ("signed", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)", 24),
+    ("named", r"""(?:[Aa][Uu][Tt][Hh]|[Cc][Rr][Ee][Dd]|[Cc][Rr][Ee][Dd][Ee][Nn][Tt][Ii][Aa][Ll][Ss]?|[Pp][Ww][Dd]|[Kk][Ee][Yy]|[Pp][Ii][Nn]|[Ss][Ii][Gg][Nn][Aa][Tt][Uu][Rr][Ee])["']?\s*+[:=]\s*+["']?([A-Za-z0-9+/_.=-]++)""", 12),
+    ("mixed", r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{24,}+)", 24),
 )
 #: Distinct owners, and repositories, up to which the registered query and the pipeline take a value for live: a leaked
 #: document and its copies in a few other sources stay under it, an example copied about doesn't.
@@ -50,7 +59,7 @@ WIDELY = 10
 KINDS = {kind: n for n, (kind, _, _) in enumerate((*BASE, *WEAK))}
 FINDERS = [(kind, re.compile(pattern), least) for kind, pattern, least in (*BASE, *WEAK)]
 #: Without one of these a text can't match the kind; looked for in the text without upper case.
-HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "service": ("gh", "glpat-", "xox", "k_live_", "aiza", "ya29.", "npm_", "sg."), "key": ("private key",), "url": ("://",)}
+HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "service": ("gh", "glpat-", "xox", "k_live_", "aiza", "ya29.", "npm_", "sg."), "key": ("private key",), "url": ("://",), "bearer": ("bearer",), "signed": ("eyj",), "named": ("auth", "cred", "pwd", "key", "pin", "signature")}
 
 
 def mixed(value: str) -> bool:
@@ -59,16 +68,49 @@ def mixed(value: str) -> bool:
     return 3 <= digits and any(c.islower() for c in value) and any(c.isupper() for c in value)
 
 
+def random_looking(value: str) -> bool:
+    """Digits and letters, and at least three bits to a character."""
+    if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return False
+    return sum(-n / len(value) * log2(n / len(value)) for n in Counter(value).values()) >= 3
+
+
+#: What a weak value must look like besides.
+LOOKS = {"mixed": mixed, "named": random_looking, "bearer": random_looking}
+
+
+def scheme(text: str, end: int, after: int) -> int | None:
+    """Where the scheme of a url begins that ends at ``end``, no earlier than ``after``: at the first letter of its characters."""
+    start = end
+    while start > after and text[start - 1] in "abcdefghijklmnopqrstuvwxyz0123456789+.":
+        start -= 1
+    return next((i for i in range(start, end) if text[i].isalpha()), None)
+
+
 def candidates(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) by start, then kind."""
     low, out = text.lower(), []
     for kind, finder, least in FINDERS:
         if kind in HINTS and not any(h in low for h in HINTS[kind]):
             continue
+        after = 0
         for m in finder.finditer(text):
-            if len(m[1]) >= least and (kind != "mixed" or mixed(m[1])):
-                out.append((kind, m.start(), m.end(), m[1]))
-    return sorted(out, key=lambda c: (c[1], KINDS[c[0]]))
+            if len(m[1]) < least or (kind in LOOKS and not LOOKS[kind](m[1])):
+                continue
+            start = m.start()
+            if kind == "url":
+                start, after = scheme(text, start, after), m.end()
+            if start is not None:
+                out.append((kind, start, m.end(), m[1]))
+    out.sort(key=lambda c: (c[1], KINDS[c[0]]))
+    kept, stop = [], -1
+    for c in out:  # a weak match inside a base one says nothing new
+        if KINDS[c[0]] < len(BASE):
+            stop = max(stop, c[2])
+        elif c[2] <= stop:
+            continue
+        kept.append(c)
+    return kept
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
@@ -107,34 +149,52 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def ownership(held: DataFrame) -> DataFrame:
-    """(hash, repositories, owners) over all candidates."""
+    """(hash, repositories, owners, n: all occurrences) over all candidates."""
     each = held.select(F.explode("found.hash").alias("hash"), F.struct("repository").alias("repository"), F.struct("owner").alias("owner"))
-    return each.distinct().groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
+    each = each.groupBy("hash", "repository", "owner").agg(F.count("*").alias("n"))
+    return each.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"), F.sum("n").alias("n"))
 
 
 def spans(held: DataFrame, most_owners: int = 1, most_repositories: int = 2) -> DataFrame:
-    """(row, spans: base and live-looking weak ones in order, n_live, n_copied) of the rows that have candidates."""
-    each = held.where(F.size("found") > 0).select("row", F.explode("found").alias("c"))
-    each = each.select("row", "c.*").join(ownership(held), "hash")
+    """(row, spans: base and live-looking weak ones in order, live: those that look live, n_live, n_copied) of the rows that have candidates."""
+    each = held.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.*")
+    owned = written(ownership(held), "secrets-owners")
+    total = owned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    each = joined(each, owned.drop("n"), "hash", hot_keys(owned, "hash", total))
     live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     order = F.create_map(*(F.lit(x) for k, n in KINDS.items() for x in (k, n)))
     base = F.col("kind").isin(*(k for k, _, _ in BASE))
     place = F.struct("start", order[F.col("kind")].alias("n"), "kind", "stop")
     rows = each.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(base | live, place))).alias("s"), F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied")
-    )
-    return rows.select("row", F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("spans"), "n_live", "n_copied")
+        F.array_sort(F.collect_list(F.when(base | live, place))).alias("s"), F.array_sort(F.collect_list(F.when(live, place))).alias("l"),
+        F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"),
+    )
+
+    def bare(column: str) -> Column:
+        return F.transform(column, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+    return rows.select("row", bare("s").alias("spans"), bare("l").alias("live"), "n_live", "n_copied")
+
+
+def repository_of(docs: DataFrame) -> Column:
+    """In tables of documents, an owner is a source, and has a repository for each language (if there is such a column)."""
+    return F.concat_ws("/", *(c for c in ("source", "lang") if c in docs.columns))
+
+
+def column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", **options) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied) for every row of ``docs``."""
-    base = docs.select(F.col(id).alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(text).alias("text"))
+def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", repository: str | Column = "source", owner: str | Column = "source", **options) -> DataFrame:
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live) for every row of ``docs``."""
+    base = docs.select(F.col(id).alias("id"), column(repository).alias("repository"), column(owner).alias("owner"), F.col(text).alias("text"))
     held = written(scan(base, ["id", "repository", "owner"]), "secrets-candidates")
     out = held.drop("found", "repository", "owner").join(spans(held, **options), "row", "left")
+    none = F.array().cast(f"array<{SPAN}>")
     return out.select(
-        F.col("id").alias(id), "n_assign", "n_access", "n_hex", "base_sha256",
-        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-    )
+        F.col("id").alias(id), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", none).alias("spans"),
+        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("live", none).alias("live"),
+    )
 
 
 def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -147,9 +207,9 @@ def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", length: str | None = "n_chars", mark: str = "[SECRET]", **options) -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", repository: str | Column = "source", owner: str | Column = "source", length: str | None = "n_chars", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with all spans of a text replaced by ``mark``; ``length``, if such a column is there, follows."""
-    base = docs.select(F.struct(*docs.columns).alias("d"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(text).alias("text"))
+    base = docs.select(F.struct(*docs.columns).alias("d"), column(repository).alias("repository"), column(owner).alias("owner"), F.col(text).alias("text"))
     held = written(scan(base, ["d", "repository", "owner"]), "secrets-documents")
     # Only rows with candidates meet the corpus-wide result; all others stay where they are.
     some = held.where(F.size("found") > 0).select("row", "d").join(spans(held, **options), "row")

@@ -37,14 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.common import free_name, raw_texts, slices, words, written
+from siltline.llm.common import free_name, hot_keys, joined, raw_texts, scratch, slices, words, written
 from siltline.llm.components import components
 from siltline.llm.decontaminate import Hashes, rolled, shingles
 
 BITS = 64
 #: Tables below tables; at the last, buckets are searched whole.
 DEPTH = 3
-SKETCH = 128
 #: Words whose hashes a task of near-dedup keeps: workers hold on to the memory from stage to stage.
 CACHE = 100_000
 #: Rows of a bucket of shingles whose pairs are all looked at in the first round.
@@ -210,39 +209,26 @@ def links(distinct: DataFrame, radius: int = 3, bucket: int = 512) -> DataFrame:
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, bucket: int = 512) -> DataFrame:
     """A row for each row of ``docs``: ``id``, fingerprint (16 hex digits), component_id (the smallest id it can reach)."""
     base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    prints = written(fingerprints(base, keep=["id"], width=width), "simhash-prints")
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = components(links(least.select("fp"), radius, bucket), name="simhash-components")
-    joined = nodes.join(least, nodes.node == least.fp)
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = nodes.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
-    named = written(
-        least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-named"
-    )
-    return prints.join(named, "fp").select(
+    with scratch(docs.sparkSession):
+        prints = written(fingerprints(base, keep=["id"], width=width), "simhash-prints", keep=True)
+        total = prints.count()
+        least = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        nodes = components(links(least.select("fp"), radius, bucket), name="simhash-components")
+        of_root = nodes.join(least, nodes.node == least.fp).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+        linked = joined(nodes, of_root.select("root", "component_id"), "root", hot_keys(of_root, "root", total)).select(F.col("node").alias("fp"), "component_id")
+        named = written(least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "simhash-named", keep=True)
+    return joined(prints, named.drop("n"), "fp", hot_keys(named, "fp", total)).select(
         F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def likeness(raw: bytes, hashes: Hashes, shingle: int = 5) -> tuple[np.ndarray, bytes]:
-    """The hashes of the distinct shingles, ascending, and the sketch: the smallest of them."""
+def shingle_hashes(raw: bytes, hashes: Hashes, shingle: int = 5) -> np.ndarray:
+    """The hashes of the distinct shingles, ascending."""
     found = words(raw)
     if not found:
-        return np.zeros(0, np.uint64), b""
+        return np.zeros(0, np.uint64)
     own = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    own = np.unique(rolled(own, min(shingle, len(own))))
-    return own, own[:SKETCH].tobytes()
-
-
-def similar(a: bytes, b: bytes) -> float:
-    """An estimate of the share of shingles that two texts have in common, by their sketches; it decides nothing."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    # A sketch that isn't full has all of its text's hashes; beyond a full one's last, nothing is known.
-    last = min([z[-1] for z in (x, y) if len(z) == SKETCH], default=max(x[-1], y[-1]))
-    both = np.union1d(x[x <= last], y[y <= last])[:SKETCH]
-    return float(len(np.intersect1d(np.intersect1d(x, y), both)) / len(both))
+    return np.unique(rolled(own, min(shingle, len(own))))
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -269,7 +255,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         hashes = Hashes()
         hashes.most = CACHE
         for b in slices(batches, 1):
-            own = [likeness(raw, hashes)[0] for raw in raw_texts(b.column(1))]
+            own = [shingle_hashes(raw, hashes) for raw in raw_texts(b.column(1))]
             h, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -410,7 +396,7 @@ def alike(docs: DataFrame, exact: DataFrame, least: float, most: int = GROUP) ->
         hashes = Hashes()
         hashes.most = CACHE
         for b in slices(batches, 1):
-            own = [likeness(raw, hashes)[0] for raw in raw_texts(b.column(1))]
+            own = [shingle_hashes(raw, hashes) for raw in raw_texts(b.column(1))]
             columns = [
                 pa.array([len(o) for o in own], pa.int32()),
                 pa.array([xxhash.xxh128_digest(o.tobytes()) for o in own], pa.binary()),
@@ -421,8 +407,9 @@ def alike(docs: DataFrame, exact: DataFrame, least: float, most: int = GROUP) ->
 
     prints = written(docs.select("row", "text").mapInArrow(run, "row long, n int, digest binary, sign array<long>, first array<long>"), "simhash-shingles")
     # One row stands for all with the same shingles.
-    least_of = prints.groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c")
-    same = written(prints.select("row", "digest").join(least_of, "digest").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")), "simhash-same")
+    least_of = prints.groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = joined(prints.select("row", "digest"), least_of.drop("n"), "digest", hot_keys(least_of, "digest", prints.count()))
+    same = written(copies.where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")), "simhash-same")
     ones = prints.where("n > 0").join(same.select(F.col("a").alias("row")), "row", "left_anti")
     spread = ones.join(exact.withColumnRenamed("first", "label"), "row").select(F.posexplode("first").alias("place", "h"), "row", "n", "label")
     spread = spread.select("h", "row", (F.col("n").cast("long") * (1 << 31) + F.col("place")).alias("n"), "label")
@@ -453,13 +440,15 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     shingles. Rows are told apart by a row id that is written with them, so repeated or missing ids lose nothing else.
     """
     row = free_name(docs, "_row")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-documents")
-    rows = held.select(F.col(row).alias("row"), F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text).alias("text"))
-    exact = written(near_duplicates(rows, id="row", text="text", width=width, radius=radius, bucket=bucket).select("row", F.col("component_id").alias("first")), "simhash-exact")
-    more = alike(rows, exact, least)
-    joined = exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).union(more)
-    nodes = written(components(joined, name="simhash-groups"), "simhash-nodes")
-    keys = rows.select("row", "key").join(nodes.withColumnRenamed("node", "row"), "row")
-    chosen = keys.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
-    gone = nodes.select(F.col("node").alias("row")).join(chosen, "row", "left_anti").select(F.col("row").alias(row))
+    with scratch(docs.sparkSession):
+        held = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-documents", keep=True)
+        rows = held.select(F.col(row).alias("row"), F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(row).alias("row")).alias("key"), F.col(text).alias("text"))
+        exact = written(near_duplicates(rows, id="row", text="text", width=width, radius=radius, bucket=bucket).select("row", F.col("component_id").alias("first")), "simhash-exact")
+        with scratch(docs.sparkSession):
+            more = written(alike(rows, exact, least), "simhash-links", keep=True)
+        linked = exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).union(more)
+        nodes = written(components(linked, name="simhash-groups"), "simhash-nodes")
+        keys = rows.select("row", "key").join(nodes.withColumnRenamed("node", "row"), "row")
+        chosen = keys.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
+        gone = written(nodes.select(F.col("node").alias(row)).join(chosen.withColumnRenamed("row", row), row, "left_anti"), "simhash-gone", keep=True)
     return held.join(gone, row, "left_anti").select(*docs.columns)

@@ -186,20 +186,6 @@ def test_long_texts_are_decided_by_all_their_shingles(spark):
     assert out == {n for n in range(80) if n % 2 == 0 or n % 4 == 3}
 
 
-def test_sketches_estimate_similarity():
-    r, hashes = random.Random(9), simhash.Hashes()
-    for n in (40, 120, 2000):
-        for changes in (0, 1, n // 60, n // 20):
-            a = prose(r, n).split()
-            b = list(a)
-            for _ in range(changes):
-                b[r.randrange(n)] = "other"
-            a, b = " ".join(a), " ".join(b)
-            got = simhash.similar(simhash.likeness(a.encode(), hashes)[1], simhash.likeness(b.encode(), hashes)[1])
-            assert abs(got - jaccard(a, b)) < (1e-9 if n == 40 else 0.15)
-    assert simhash.similar(b"", b"") == 1.0 and simhash.similar(b"", bytes(8)) == 0.0
-
-
 def test_covering_tables_find_every_link(spark):
     """Dense groups, which go down to the deeper tables, and random ones."""
     r = random.Random(3)
@@ -587,7 +573,7 @@ def test_training_in_blocks_learns_and_does_not_depend_on_partitions(spark):
 
 def test_toxicity(spark):
     r = random.Random(6)
-    bad = [w.decode() for w in (*toxicity.INSULTS, *toxicity.CONTEMPT)]
+    bad = "idiot moron loser clown scum stupid trash pathetic disgusting worthless".split()
     rows = []
     for n in range(400):
         w = prose(r, r.choice([20, 200])).split()
@@ -595,11 +581,13 @@ def test_toxicity(spark):
             for _ in range(max(2, len(w) // 20)):
                 w[r.randrange(len(w))] = r.choice(bad)
         rows.append((n, " ".join(w), n % 4 == 0))
-    table = spark.createDataFrame([(n, t, "p", 0.5) for n, t, _ in rows] + [(None, None, "p", 0.5), (900, "", "p", 0.5), (0, rows[0][1], "p", 0.5)], "doc_id long, text string, toxic string, p_toxic double")
+    table = spark.createDataFrame([(n, t, "p", 0.5) for n, t, _ in rows] + [(None, None, "p", 0.5), (900, "", "p", 0.5), (0, rows[0][1], "p", 0.5), (901, prose(random.Random(1), 60_000), "p", 0.5), (902, "stupid scum " * 50_000, "p", 0.5)], "doc_id long, text string, toxic string, p_toxic double")
     labels = spark.createDataFrame([(n, 1, int(t)) for n, _, t in rows[:300]] + [(None, 1, 1), (5, 1, None), (7777, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.toxicity(table, labels, buckets=1 << 12).collect()
-    assert len(out) == len(rows) + 3
+    assert len(out) == len(rows) + 5
     got = {x.doc_id: x for x in out}
+    assert [x.toxic for x in (got[901], got[902])] == [False, True]  # very long texts
+    assert len({tuple(x)[1:] for x in out if x.doc_id == 0}) == 1  # ties
     unseen = rows[300:]
     assert sum(got[n].toxic == t for n, _, t in unseen) >= 0.95 * len(unseen)
     assert not got[None].toxic and not got[900].toxic
@@ -608,6 +596,89 @@ def test_toxicity(spark):
     assert not any(x.toxic for x in toxicity.toxicity(table, labels.limit(0)).collect())
 
 
+def plain_chain(texts, labels, unseen, buckets, folds, least, decay, steps):
+    """The chain in plain Python: dictionaries, loops, no matrix."""
+
+    def vector(text):
+        seen = Counter()
+        for word in text.encode().lower().split():
+            bare = word.strip(b".,;:!?|\"'()[]{}#*$%&<>")
+            for b in {xxhash.xxh32_intdigest(p) % buckets for p in (b"w" + bare, b"4" + bare[:4], b"6" + bare[:6])} if bare else ():
+                seen[b] += 1
+        long = math.sqrt(sum(math.log(1 + n) ** 2 for n in seen.values())) or 1.0
+        return {b: math.log(1 + n) / long for b, n in seen.items()}
+
+    def scaled(v, ratio):
+        v = {b: x * ratio.get(b, 0.0) for b, x in v.items()}
+        by = math.sqrt(0.1 + sum(x * x for x in v.values()))
+        return {b: x / by for b, x in v.items()}
+
+    def sigmoid(z):
+        return 1 / (1 + math.exp(-z))
+
+    def fit(rows, early, y, use):
+        n, good = len(use), sum(y[i] for i in use)
+        ratio = {}
+        for b in known:
+            a = sum(y[i] for i in use if b in rows[i])
+            c = sum(1 - y[i] for i in use if b in rows[i])
+            ratio[b] = math.log((a + 1) / (good + 2) / (c + 1) * (n - good + 2))
+        own = {i: scaled(rows[i], ratio) for i in use}
+        weight = {i: (0.5 * n / good if y[i] else 0.5 * n / (n - good)) / n for i in use}
+        w, u, b, t = {x: 0.0 for x in known}, [0.0] * len(early[0]), 0.0, 1.0
+        lw, lu, lb, rate = dict(w), list(u), 0.0, 4.0 / (2.0 + len(early[0]))
+        for _ in range(steps):
+            r = {i: weight[i] * (sigmoid(sum(lw[x] * v for x, v in own[i].items()) + sum(p * q for p, q in zip(early[i], lu, strict=True)) + lb) - y[i]) for i in use}
+            nw = {x: lw[x] - rate * (sum(r[i] * own[i].get(x, 0.0) for i in use) + decay * lw[x]) for x in known}
+            nu = [lu[k] - rate * (sum(r[i] * early[i][k] for i in use) + decay * lu[k]) for k in range(len(u))]
+            nb = lb - rate * sum(r.values())
+            t, before = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+            m = (before - 1) / t
+            lw, lu, lb = {x: nw[x] + m * (nw[x] - w[x]) for x in known}, [p + m * (p - q) for p, q in zip(nu, u, strict=True)], nb + m * (nb - b)
+            w, u, b = nw, nu, nb
+        return lambda v, e: sigmoid(sum(w[x] * y for x, y in scaled(v, ratio).items()) + sum(p * q for p, q in zip(e, u, strict=True)) + b)
+
+    rows = [vector(x) for x in texts]
+    often = Counter(b for v in rows for b in v)
+    known = [b for b, n in often.items() if n >= least]
+    rows = [{b: x for b, x in v.items() if often[b] >= least} for v in rows]
+    new = [{b: x for b, x in vector(x).items() if often.get(b, 0) >= least} for x in unseen]
+    early, late = [[] for _ in rows], [[] for _ in new]
+    for k in range(len(labels[0])):
+        y = [x[k] for x in labels]
+        links = [fit(rows, early, y, [i for i in range(len(rows)) if i % folds != f]) for f in range(folds)]
+        whole = fit(rows, early, y, range(len(rows)))
+        out = [links[i % folds](v, early[i]) for i, v in enumerate(rows)]
+        late = [[*e, whole(v, e)] for v, e in zip(new, late, strict=True)]
+        early = [[*e, p] for e, p in zip(early, out, strict=True)]
+    return early, late
+
+
+def test_chain_is_the_plain_one(spark):
+    r = random.Random(17)
+    bad, worse = ["idiot", "scum", "clown"], ["click", "offer", "win"]
+    texts, labels = [], []
+    for n in range(48):
+        w = prose(r, r.choice([4, 12, 30])).split()
+        judged = [float(n % 3 == 0), float(n % 4 < 1 or n % 6 == 0)]
+        w += [r.choice(worse)] * int(judged[0]) + [r.choice(bad), "!!"] * int(judged[1])
+        texts.append(" ".join(w))
+        labels.append(judged)
+    unseen = [*texts[:5], "", "what a clown, win!", prose(r, 50)]
+    early, late = plain_chain(texts, labels, unseen, 512, 4, 3, 1e-4, 30)
+    features = toxicity.Buckets(512)
+    chain = toxicity.Chain(("a", "b"), 512).fit(toxicity.Rows([features.vector(t.encode()) for t in texts]), np.array(labels), steps=30, tolerance=0.0)
+    assert np.allclose(chain.out_of_fold, early, atol=1e-9)
+    assert np.allclose(chain.predict(toxicity.Rows([features.vector(t.encode()) for t in unseen])), late, atol=1e-9)
+    # and through the operator, whose labelled texts come in the order of their ids' hashes
+    order = [x.n for x in spark.range(48).selectExpr("id AS n", "xxhash64(id) AS h").orderBy("h").collect()]
+    _, late = plain_chain([texts[n] for n in order], [labels[n] for n in order], [*texts, *unseen[5:]], 512, 4, 3, 1e-4, 30)
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + n, t) for n, t in enumerate(unseen[5:]))], "doc_id long, text string").repartition(3)
+    judged = spark.createDataFrame([(n, 1 - int(a), int(b)) for n, (a, b) in enumerate(labels)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: (x.p_low_quality, x.p_toxic) for x in toxicity.toxicity(docs, judged, buckets=512, steps=30, tolerance=0.0).collect()}
+    assert np.allclose([got[n] for n in (*range(48), 100, 101, 102)], late, atol=1e-5)
+
+
 def test_chain_uses_out_of_fold_predictions():
     r = np.random.default_rng(2)
     vectors = [(np.array([k % 50]), np.ones(1)) for k in range(200)]
@@ -617,3 +688,37 @@ def test_chain_uses_out_of_fold_predictions():
     mine = first.predict(toxicity.Rows(vectors), np.zeros((200, 0)))
     assert np.allclose(chain.out_of_fold[::5, 0], mine[::5])
     assert chain.links[1].u.shape == (1,)
+
+
+def test_long_credentials_are_candidates_and_matching_is_linear():
+    import time
+
+    word = "".join(random.Random(1).choices("abcdefghijkmnopqrstuvwxyz0123456789", k=5000))
+    for text, kind in (
+        (f"x {'q' * 40}://{'u' * 300}:{word}@host", "url"),
+        (f"-----BEGIN {'VERY ' * 30}PRIVATE KEY-----\n{word}\n-----END", "key"),
+        (f"Authorization: Bearer {word}", "bearer"),
+        (f"see eyJ{word}.{word}.{word} there", "signed"),
+        (f"my_auth = '{word}'", "named"),
+        (f"sk_live_{word}", "service"),
+    ):
+        found = [c for c in secrets.candidates(text) if c[0] == kind]
+        assert len(found) == 1 and word in found[0][3], kind
+    assert secrets.candidates("9http://user:secret1@h 5://a:bbbbbbb@c") == [("url", 1, 21, "secret1")]
+    assert [c[0] for c in secrets.candidates("token = 'aB3aB3aB3aB3aB3aB3aB3aB3aB3'")] == ["assign"]  # not the mixed string in it
+    for text in ("a" * 200_000 + "://", "http://" * 40_000, "key" * 80_000, "-----BEGIN " + "PRIVATE KEY" * 20_000, "bearer " * 40_000, "eyJ" * 80_000, "://a:" * 50_000, "A" * 300_000, "key    " * 50_000):
+        began = time.time()
+        secrets.candidates(text)
+        assert time.time() - began < 5, text[:20]
+
+
+def test_ownership_decides_weak_and_tells_base_spans_apart(spark):
+    value, example = "Zx9Kq2Lm8Rt4Vb6Nw1Yp3Hd5", "Qa7Ws3Ed9Rf5Tg1Yh8Uj2Ik4"
+    rows = [(0, f"auth: {value}", "s0", "en"), (1, f"auth: {value}", "s0", "fr"), *((2 + n, f"auth: {example} token = 'abcdefgh12345'", f"s{n}", "en") for n in range(30))]
+    rows += [(100 + n, f"token = 'own{n:09}'", "hot", "en") for n in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for two in (1, 2):
+        got = {g.doc_id: g for g in secrets.secrets(docs, repository=secrets.repository_of(docs), most_owners=1, most_repositories=two).collect()}
+        assert [s.kind for s in got[0].spans] == (["named", "mixed"] if two == 2 else [])  # one owner's, in two repositories
+        assert [s.kind for s in got[5].spans] == ["assign"] and got[5].live == [] and got[5].n_copied == 3
+        assert all(len(got[100 + n].live) == 1 for n in range(50))

@@ -68,6 +68,36 @@ def test_token_counts(spark):
     assert token_counts(own, "e").first().n_tokens_edited == counts.count("xbc")
 
 
+def test_stored_trees_go_on_from_edit_to_edit(spark):
+    from siltline.llm import edits
+
+    counts, n = piece_counts("byte_bpe_50k.tiktoken"), 20_000
+    said = {1: "some plain words here " * n, 2: "", 3: "untouched text, " * 50, 4: None}
+    docs = spark.createDataFrame(list(said.items()), "doc_id long, text string")
+    stored = edits.written(edits.trees(docs), "test-trees")
+    assert {x.doc_id: x.n_encoded for x in stored.collect()} == {k: len(v or "") for k, v in said.items()}
+    text = {k: v or "" for k, v in said.items()}
+    for start, stop, new in ((200_000, 200_005, "other"), (7, 7, "\n\nand more"), (10**9, 10**9, " the end")):
+        own = spark.createDataFrame([(k, [(start, stop, new)]) for k in (1, 2)], "doc_id long, e array<struct<start:long,stop:long,new:string>>")
+        stored = edits.written(edits.edited(stored.join(own, "doc_id", "left"), "e").drop("e"), "test-trees")
+        for k in (1, 2):
+            a, b = min(start, len(text[k])), min(stop, len(text[k]))
+            text[k] = text[k][:a] + new + text[k][b:]
+        got = {x.doc_id: x for x in stored.collect()}
+        assert {k: "".join(x.leaves) for k, x in got.items()} == text
+        assert {k: sum(x.tokens) for k, x in got.items()} == {k: len(counts.encoding.encode_ordinary(t)) for k, t in text.items()}
+        assert 0 < got[1].n_encoded < 300 and got[3].n_encoded == got[4].n_encoded == 0
+    assert edits.edited(stored.limit(0), edits.revision).collect() == []
+
+
+def test_only_touched_leaves_are_cut():
+    counts = piece_counts("byte_bpe_50k.tiktoken")
+    doc = Counted.of_stored(*Counted("some plain words here " * 5000, counts).stored(), counts)
+    doc.edit(50_000, 50_005, "other")
+    cut = sum(x.pieces is not None for x in list.__iter__(doc.leaves))
+    assert 0 < cut <= 4 < len(doc.leaves) and doc.encoded < 200
+
+
 def filled(counts, capacity):
     places, n, fixed = packing.plan(counts, capacity)
     bins, seen = defaultdict(list), defaultdict(set)
@@ -116,12 +146,13 @@ def test_plan_places_every_piece_once(counts):
 
 def test_reduction_never_costs_a_bin():
     r = random.Random(5)
-    for _ in range(300):
-        items = [r.randint(1, 12) for _ in range(r.randint(0, 8))]
-        stock = packing.Stock({s: items.count(s) for s in items}, 12)
+    for n in range(1500):
+        capacity = 12 if n < 300 else r.choice((24, 30, 40))
+        items = [r.randint(1, capacity) for _ in range(r.randint(0, 8 if n < 300 else 10))]
+        stock = packing.Stock({s: items.count(s) for s in items}, capacity)
         packing.reduce(stock)
-        left = [s for s in range(1, 13) for _ in range(stock.left[s])]
-        assert stock.sequences + fewest(left, 12) == fewest(items, 12), items
+        left = [s for s in range(1, capacity + 1) for _ in range(stock.left[s])]
+        assert stock.sequences + fewest(left, capacity) == fewest(items, capacity), (capacity, items)
 
 
 def test_reduction_leaves_a_pair_that_three_pieces_could_replace():
@@ -169,3 +200,56 @@ def test_chat_windows(spark):
         assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got.formatted_chars == sum(len(w.text) for w in held if w.conv_id == id)
     assert chat.read_back(chat.windows(table.limit(0))).collect() == []
+
+
+def test_windows_by_plain_search_and_split_conversations(spark):
+    """Every window against a plain greedy choice, where segments are small, and the same turns whatever the partitions."""
+    r = random.Random(12)
+    rows = []
+    for c in (None, *range(6)):
+        start = c is not None and c % 2
+        rows += [(c, 0, "system", "Say little.")] * start
+        rows += [(c, n + start, ("user", "assistant")[n % 2], "word " * r.choice([0, 1, 5, 30, 200])) for n in range((7, 300, 64, 65, 63, 128, 1)[-1 if c is None else c])]
+    rows += [(7, 1, "user", "same")] * 150  # one key, cut nowhere by its value
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    budget, history, segment = 150, 40, 64
+    count = piece_counts("byte_bpe_50k.tiktoken").count
+    size = lambda t: count(f"{chat.START}{chat.line(t[2])}\n{chat.escaped(t[3])}{chat.END}\n")
+    got = defaultdict(list)
+    for w in chat.windows(table, budget=budget, history=history, segment=segment).collect():
+        got[w.conv_id].append((w.first_turn, w.n_turns, w.n_repeated, w.n_tokens, w.window))
+    for c in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1], x[2], x[3]))
+        system = own[0] if own[0][2] == "system" else None
+        room, at, want = budget - (size(system) if system else 0), int(system is not None), []
+        while at < len(own):
+            back, total = at, 0
+            while at > (system is not None) and back > (system is not None) and total + size(own[back - 1]) <= min(history, room - size(own[at])):
+                back -= 1
+                total += size(own[back])
+            stop = at
+            while stop < len(own) and (stop == at or (total + size(own[stop]) <= room and stop % segment)):
+                total += size(own[stop])
+                stop += 1
+            first = system is not None and not want
+            want.append((0 if first else at, stop - at + first, at - back + (system is not None) - first, total + budget - room))
+            at = stop
+        mine = sorted(got[c], key=lambda w: w[4])
+        assert [w[:4] for w in mine] == want, c
+        assert len({w[4] for w in mine}) == len(mine)
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    table = spark.createDataFrame([(n % 3 if n < 900 else None, n // 7, "r", str(n % 5), n) for n in range(1000)], "c long, n int, r string, t string, row long")
+    want = None
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = sorted((repr(x.c), x.i, x.n, x.t) for x in chat.numbered(table).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        want = want or got
+        assert got == want
+    assert [x[1] for x in want if x[0] == "None"] == list(range(100))
