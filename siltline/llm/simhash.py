@@ -17,7 +17,8 @@ four to eleven. ``one_of_each`` therefore also joins texts by their shingles, ex
 those that a sample of the rows shows to be frequent come last); two texts that are ``least`` alike share one of the first
 n - ceil(least n) + 1 of each. Rows with such a shingle in common are a bucket, and all pairs of a bucket are looked at but
 those that are in one group already. Of a bucket of more than ``GROUP`` rows each is first held against the least only;
-what that joins is a group, and the pairs across groups follow. Pairs that sizes or ``signature`` rule out (bounds, not
+what that joins is a group, and the pairs across groups follow, those nearest by signature first, in rounds that end when no
+pair across groups is left. Pairs that sizes or ``signature`` rule out (bounds, not
 estimates) are dropped; all others are verified by the distinct shingles of the whole texts, as words.
 
 Defined cases: a null text is empty, an empty text has fingerprint zero and links like any other; repeated rows and ids
@@ -48,6 +49,8 @@ DEPTH = 3
 CACHE = 100_000
 #: Rows of a bucket of shingles whose pairs are all looked at in the first round.
 GROUP = 64
+#: Partners of a row in a larger bucket that are looked at in the first round across groups; in each later one eight times as many.
+NEAREST = 4
 #: Bits of a signature.
 SIGNATURE = 512
 #: Frequent shingles that are ordered last: those of at least ``OFTEN`` rows of one in ``SAMPLE``, at most ``HEAVY``. Any
@@ -328,25 +331,38 @@ def bucketed(rows: DataFrame, least: float, most: int) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "row").mapInArrow(run, "h long, a long, b long")
 
 
-def crossed(rows: DataFrame, least: float) -> DataFrame:
-    """Rows (h, row, n, label, sign) by h: all pairs (a, b) across labels that sizes and signatures allow."""
+def crossed(rows: DataFrame, least: float, most: int) -> DataFrame:
+    """Rows (h, row, n, label, sign) by h: of the pairs (a, b) across labels that sizes and signatures allow, for each row the ``most`` nearest by signature.
+
+    Of each pair one row is asked, so without a row (-1, -1), which says that some row had more, these are all pairs.
+    """
 
     def bucket(row: np.ndarray, n: np.ndarray, label: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
         # Pairs within a label are never made: the rows of the largest one come last, and are only others' partners.
         _, own, count = np.unique(label, return_inverse=True, return_counts=True)
-        order = np.lexsort((own, count[own]))
-        row, n, label, sign = row[order], n[order], label[order], sign[order]
+        order = np.lexsort((row, own, count[own]))
+        row, n, label, sign, more = row[order], n[order], label[order], sign[order], False
         for i in range(0, len(row) - int(count.max()), 64):
+            near = np.zeros((3, 0), np.int64)  # asked row, differing bits, partner
             for j in range(i, len(row), 4096):
                 x, y = slice(i, min(i + 64, len(row))), slice(j, j + 4096)
                 fit = (label[x, None] != label[None, y]) & (np.minimum(n[x, None], n[None, y]) >= least * np.maximum(n[x, None], n[None, y]) - 1e-9)
                 p, q = np.nonzero(fit)
                 p, q = p + i, q + j
+                p, q = p[p < q], q[p < q]
                 differ = np.bitwise_count(sign[p] ^ sign[q]).sum(axis=1, dtype=np.int64)
                 at = differ * (1 + least) <= (1 - least) * (n[p] + n[q]) + 1e-6
-                if at.any():
-                    a, b = row[p[at]], row[q[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                near = np.c_[near, np.stack([p[at], differ[at], q[at]])]
+                near = near[:, np.lexsort((near[2], near[1], near[0]))]
+                new = np.flatnonzero(np.r_[True, near[0, 1:] != near[0, :-1]][: near.shape[1]])
+                nth = np.arange(near.shape[1]) - np.repeat(new, np.diff(np.r_[new, near.shape[1]]))
+                more = more or bool((nth >= most).any())
+                near = near[:, nth < most]
+            if near.shape[1]:
+                a, b = row[near[0]], row[near[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = None, []
@@ -425,12 +441,19 @@ def alike(docs: DataFrame, exact: DataFrame, least: float, most: int = GROUP) ->
     rows = level.where("b < 0").select("h", F.col("a").alias("row"))
     if rows.isEmpty():
         return links
-    nodes = written(components(exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")).union(links), name="simhash-joined"), "simhash-labels")
-    rows = rows.join(nodes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
-    mixed = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-    rest = rows.join(mixed, "h").join(signs, "row").select("h", "row", "n", "label", "sign")
-    more = crossed(rest, least).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.union(written(verified(written(more, "simhash-crossed"), docs, least), "simhash-across"))
+    # Nearest pairs first: what they join needs no more pairs. Rounds go on until no row has any left.
+    ask, first = NEAREST, exact.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    while True:
+        nodes = written(components(first.union(links), name="simhash-joined"), "simhash-labels")
+        named = rows.join(nodes.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("root", "row")).drop("root")
+        mixed = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+        rest = named.join(mixed, "h").join(signs, "row").select("h", "row", "n", "label", "sign")
+        got = written(crossed(rest, least, ask).distinct(), "simhash-crossed")
+        fresh = written(got.where("a >= 0").join(tried, ["a", "b"], "left_anti"), "simhash-fresh")
+        links, tried = links.union(written(verified(fresh, docs, least), "simhash-across")), tried.union(fresh)
+        if got.where("a < 0").isEmpty():
+            return links
+        ask *= 8
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, bucket: int = 512, least: float = 0.8) -> DataFrame:

@@ -722,3 +722,24 @@ def test_ownership_decides_weak_and_tells_base_spans_apart(spark):
         assert [s.kind for s in got[0].spans] == (["named", "mixed"] if two == 2 else [])  # one owner's, in two repositories
         assert [s.kind for s in got[5].spans] == ["assign"] and got[5].live == [] and got[5].n_copied == 3
         assert all(len(got[100 + n].live) == 1 for n in range(50))
+
+
+def test_rounds_across_groups_lose_nothing(spark, monkeypatch):
+    """A bucket of chained near copies around several originals, none of which is the least row; one partner a round."""
+    monkeypatch.setattr(simhash, "NEAREST", 1)
+    r, texts = random.Random(51), []
+    hot = plain(r, 12)
+    for _ in range(6):
+        base = plain(r, 60).split()
+        for _ in range(25):
+            now = list(base)
+            for k in r.sample(range(60), 2):
+                now[k] = f"y{r.randrange(10**6)}"
+            texts.append(f"{hot} {' '.join(now)}")
+    r.shuffle(texts)
+    group = alike(texts)
+    out = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    first = {}
+    for n, t in enumerate(texts):
+        first.setdefault(group[t], n)
+    assert sorted(x.doc_id for x in out) == sorted(first.values())
