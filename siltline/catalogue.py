@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltline.plans import analytics, monitoring, roundtrips
+from siltline.plans import analytics, monitoring, roundtrips, scalars
 
 FLAGSHIP = "denied_per_source_day"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**roundtrips.QUERIES, **analytics.QUERIES, **monitoring.QUERIES}
-ORACLE_SQL: dict[str, str] = {**roundtrips.ORACLE_SQL, **analytics.ORACLE_SQL, **monitoring.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**roundtrips.QUERIES, **analytics.QUERIES, **monitoring.QUERIES, **scalars.QUERIES}
+ORACLE_SQL: dict[str, str] = {**roundtrips.ORACLE_SQL, **analytics.ORACLE_SQL, **monitoring.ORACLE_SQL, **scalars.ORACLE_SQL}

@@ -96,10 +96,14 @@ def epoch_precision(number: Column | str) -> Column:
 
 
 def epoch_auto(number: Column | str) -> Column:
-    n, unit, out = col(number), epoch_precision(number), F.lit(None).cast("bigint")
-    for u in PRECISIONS:
-        out = F.when(unit == u, epoch(n, u)).otherwise(out)
-    return out
+    # Bound as a lambda's argument, the number is computed once and not for each comparison.
+    def of(n: Column) -> Column:
+        out = F.lit(None).cast("bigint")
+        for unit, scale in PRECISIONS.items():
+            out = F.when((n >= SPAN_S[0] * scale) & (n < SPAN_S[1] * scale), epoch(n, unit)).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(col(number)), of), 0)
 
 
 def event_day(ms: Column | str) -> Column:

@@ -62,17 +62,18 @@ def _nested(leaves: dict[str, Column]) -> list[Column]:
     return struct(tree)
 
 
-def normalize(df: DataFrame, mappings: list[Mapping], class_uid: int, activity: str | None = None, metadata: dict[str, str] | None = None, parsed: str = "parsed", version: int = 1, lineage: tuple[str, ...] = ()) -> DataFrame:
+def normalize(df: DataFrame, mappings: list[Mapping], class_uid: int, activity: str | None = None, metadata: dict[str, str] | None = None, parsed: str = "parsed", version: int = 1, lineage: tuple[str, ...] = (), values: str | None = None) -> DataFrame:
     """``df`` with ``event`` (a struct), ``absent`` (attribute, cause) and ``unmapped``.
 
     Causes: structural (no span), declared_null, uncoercible (the parser kept it opaque), transform_failed. An attribute
-    whose cause is none of these is there.
+    whose cause is none of these is there. ``values`` is a map from path to text of lines that the fast path has read, in
+    which nothing is opaque or declared null; without it, the spans of ``parsed`` are read.
     """
     # One map for texts: mapped paths are read from it, the rest is unmapped.
     from siltline.operators.parser import texts
 
-    out = df.withColumn("_values", texts(parsed))
-    states = F.col(f"{parsed}.spans")
+    out = df.withColumn("_values", F.col(values) if values else texts(parsed))
+    states = None if values else F.col(f"{parsed}.spans")
     leaves, absent = {}, []
     for m in mappings:
         if m.constant is not None:
@@ -84,7 +85,7 @@ def normalize(df: DataFrame, mappings: list[Mapping], class_uid: int, activity:
             text = F.try_element_at("_values", F.lit(m.path or ""))
         value = _transformed(m, text, F.col("_values"))
         leaves[m.attribute] = value
-        has = lambda pick, p=m.path: F.exists(states, lambda s: (s["path"] == (p or "")) & pick(s))
+        has = lambda pick, p=m.path: F.lit(False) if states is None else F.exists(states, lambda s: (s["path"] == (p or "")) & pick(s))
         cause = (
             F.when(has(lambda s: F.coalesce(s["declared_null"], F.lit(False))), "declared_null")
             .when(has(lambda s: s["kind"] == "opaque"), "uncoercible")
@@ -99,6 +100,7 @@ def normalize(df: DataFrame, mappings: list[Mapping], class_uid: int, activity:
     mapped = [F.lit(p) for m in mappings for p in ((m.path,) if m.path else m.parts)]
     rest = F.map_filter("_values", lambda k, v: ~k.isin(*mapped)) if mapped else F.col("_values")
     kept = F.struct(F.lit(version).alias("normalization_version"), *lineage) if lineage else F.struct(F.lit(version).alias("normalization_version"))
-    return out.select(
-        *df.columns, F.struct(*_nested(leaves), kept.alias("lineage")).alias("event"), F.array_compact(F.array(*absent)).alias("absent") if absent else F.array().alias("absent"), rest.alias("unmapped")
-    )
+    causes = F.array_compact(F.array(*absent)) if absent else F.array().cast("array<struct<attribute:string,cause:string>>")
+    # Computed once for each row: a filter on the event would otherwise repeat what makes its leaves.
+    made = F.struct(F.struct(*_nested(leaves), kept.alias("lineage")).alias("event"), causes.alias("absent"), rest.alias("unmapped"))
+    return out.select(*df.columns, F.inline(F.array(made)))

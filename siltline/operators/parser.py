@@ -669,7 +669,9 @@ class Program:
         if not 1 <= self.most <= 1 << 24:
             raise SpecError("max_event_bytes")
         self.run = step_of(spec["parse"])
-        canonical = json.dumps(spec["parse"], sort_keys=True, separators=(",", ":"))
+        # What decides a parse: two programs of one hash give equal spans and refuse the same events.
+        canonical = json.dumps({"parse": spec["parse"], "max_event_bytes": self.most}, sort_keys=True, separators=(",", ":"))
+        self.dsl_hash = "sha256:" + hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
         self.parser_hash = "sha256:" + hashlib.sha256(f"{VERSION}\n{canonical}".encode()).hexdigest()
 
     def parse(self, data: bytes, ingest_ms: int | None = None) -> dict:

@@ -127,5 +127,5 @@ def route(df: DataFrame, families: list[Family], payload: str = "payload", allow
     out = df.withColumn("candidates", some(survivors, "array<string>")).withColumn("drift", some(drift, "array<struct<anchor:string,value:string>>")).withColumn("unowned", some(unowned, "array<string>")).withColumn("_hits", some(hits, "array<string>"))
     n = F.size("candidates")
     stage = F.when(n == 1, "routed").when(n > most, "routing_cap").when(n > 1, "routing_ambiguous").when(F.size("drift") > 0, "routing_drift").otherwise("routing")
-    signature = F.concat_ws("|", "l1", "l2", F.array_join("_hits", ","), F.coalesce(F.col("arity").cast("string"), F.lit("")))
+    signature = F.concat_ws("|", "l1", "l2", F.array_join("_hits", ","), F.coalesce(F.col("arity").cast("string"), F.lit("")), F.when(F.size("classes") > 0, F.array_join("classes", ",")))
     return out.withColumn("stage", stage).withColumn("family", F.when(n == 1, F.get("candidates", 0))).withColumn("signature", signature).drop("_hits")

@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt out to all of them; a larger one as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def ms(ts: str = "ts") -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
@@ -277,13 +283,6 @@ def segment_offsets(spark, sf_dir):
     return s.groupBy("segment").agg(F.count("*").alias("n"), F.max(F.col("start") + F.col("len")).alias("bytes"), F.sum("start").alias("starts"))
 
 
-@query("WITH c AS (SELECT event_id // 500 AS id, sha256(CAST(sum(event_id) AS VARCHAR)) AS root FROM events GROUP BY 1) SELECT id, root, lag(root) OVER (ORDER BY id) AS prev, coalesce(lag(root) OVER (ORDER BY id) <> root, true) AS chained FROM c")
-def checkpoint_chain(spark, sf_dir):
-    """Each checkpoint with the hash of the one before; the window runs over checkpoints."""
-    c = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).cast("long").alias("id")).agg(F.sha2(F.sum("event_id").cast("string"), 256).alias("root"))
-    return c.withColumn("prev", F.lag("root").over(Window.orderBy("id"))).withColumn("chained", F.coalesce(F.col("prev") != F.col("root"), F.lit(True)))
-
-
 @query("WITH c AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, event_id, round((i + 0.5) / n, 12) AS place FROM c")
 def even_interleave(spark, sf_dir):
     """The place of each row in a deterministic even interleave of the types."""
@@ -318,20 +317,25 @@ def unknown_peers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(e, "c_custkey", "left_anti")
 
 
-@query("SELECT (SELECT count(*) FROM events) AS sent, (SELECT count(*) FROM events WHERE event_type <> 'error') AS delivered, (SELECT count(*) FROM events WHERE event_type = 'error') AS quarantined, true AS reconciled")
+@query("WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'), d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), b AS (SELECT s.k AS a, d.k AS b FROM s FULL OUTER JOIN d ON s.k = d.k) SELECT count(a) AS sent, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS delivered, count(*) FILTER (b IS NULL) AS lost, count(*) FILTER (a IS NULL) AS unexpected, count(*) FILTER (b IS NULL OR a IS NULL) = 0 AS reconciled FROM b")
 def count_reconciliation(spark, sf_dir):
-    """Sent is delivered and quarantined: one pass."""
-    e = table(spark, sf_dir, "events")
-    bad = F.col("event_type") == "error"
-    out = e.agg(F.count("*").alias("sent"), F.count_if(~bad).alias("delivered"), F.count_if(bad).alias("quarantined"))
-    return out.withColumn("reconciled", F.col("sent") == F.col("delivered") + F.col("quarantined"))
+    """What was sent against what arrived, from two tables: delivered, lost, and arrived without having been sent."""
+    sent = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.lit(True).alias("s"))
+    there = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct().withColumn("d", F.lit(True))
+    s, d = F.col("s").isNotNull(), F.col("d").isNotNull()
+    out = sent.join(there, "k", "full_outer").agg(F.count_if(s).alias("sent"), F.count_if(s & d).alias("delivered"), F.count_if(s & ~d).alias("lost"), F.count_if(~s).alias("unexpected"))
+    return out.withColumn("reconciled", F.col("lost") + F.col("unexpected") == 0)
 
 
-@query("SELECT event_id // 1000 AS segment, count(DISTINCT d) AS checkpoints FROM (SELECT event_id, date_trunc('day', ts) AS d FROM events) GROUP BY 1")
+@query("WITH s AS (SELECT DISTINCT event_id // 40 AS segment FROM events), c AS (SELECT segment, unnest(CASE WHEN segment % 4 = 0 AND segment > 0 THEN [segment // 4, segment // 4 - 1] ELSE [segment // 4] END) AS checkpoint FROM s WHERE segment % 5 <> 0) SELECT s.segment, count(checkpoint) AS checkpoints, min(checkpoint) AS first FROM s LEFT JOIN c ON c.segment = s.segment GROUP BY 1")
 def covering_checkpoints(spark, sf_dir):
-    """How many checkpoints cover each segment."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.floor(F.col("event_id") / 1000).cast("long").alias("segment")).agg(F.count_distinct(F.date_trunc("day", "ts")).alias("checkpoints"))
+    """How many checkpoints name each segment; a checkpoint names its own segments and the first of the next, some are named by none."""
+    from siltline.operators.provenance import covering
+
+    segments = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 40).cast("long").alias("segment")).distinct()
+    own = F.floor(F.col("segment") / 4)
+    named = segments.where("segment % 5 <> 0").select("segment", F.explode(F.when((F.col("segment") % 4 == 0) & (F.col("segment") > 0), F.array(own, own - 1)).otherwise(F.array(own))).alias("checkpoint"))
+    return covering(segments, named.groupBy("checkpoint").agg(F.collect_list("segment").alias("segments")))
 
 
 @query("(SELECT event_type, 'activated' AS change FROM (SELECT DISTINCT event_type FROM events WHERE event_id % 2 = 0 EXCEPT SELECT DISTINCT event_type FROM events WHERE value < 0)) UNION ALL (SELECT event_type, 'deactivated' FROM (SELECT DISTINCT event_type FROM events WHERE value < 0 EXCEPT SELECT DISTINCT event_type FROM events WHERE event_id % 2 = 0))")
@@ -430,8 +434,18 @@ def labels_of_sources(spark, sf_dir):
     return c.select("c_custkey", C.host_of(F.concat("c_name", F.lit(":"), F.col("c_custkey").cast("string"))).alias("host"), C.arity_bucket("c_custkey").alias("bucket"), C.event_day(F.col("c_custkey") * 86_400_000).alias("event_day"))
 
 
-@query()
+#: SQL: 32-bit FNV-1a of an ASCII text.
+FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length({x}) + 1), lambda i: CAST(ord(substr({x}, i, 1)) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+
+
+@query(f"SELECT p_partkey, {FNV.format(x='p_name')} AS h FROM part")
+def fnv1a_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", C.fnv1a("p_name").alias("h"))
+
+
+@query(f"SELECT {FNV.format(x='n')} % 8 AS shard, count(*) AS n FROM (SELECT concat('src', c_custkey) AS n FROM customer) GROUP BY 1")
 def shard_of_files(spark, sf_dir):
-    """Files by shard of their source (FNV-1a): the tests have the values."""
+    """Files by shard of their source, which is what stands before the first underscore (FNV-1a)."""
     c = table(spark, sf_dir, "customer")
-    return c.groupBy(C.shard(F.concat(F.substring_index("c_name", "#", 1), F.lit("_"), F.col("c_custkey").cast("string")), 8).alias("shard")).agg(F.count("*").alias("n"))
+    name = F.concat(F.lit("src"), F.col("c_custkey").cast("string"), F.lit("_part_"), "c_mktsegment", F.lit(".log"))
+    return c.groupBy(C.shard(name, 8).alias("shard")).agg(F.count("*").alias("n"))

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltline.functions import columns as C
+from siltline.operators import agreement, provenance, routing
+from siltline.plans import onboarding
 from siltline.plans.analytics import HOST, host, ms, table
+from siltline.sources import frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,36 +59,62 @@ def lake_layout(spark, sf_dir):
     return e.withColumn("place", F.concat(F.lit("ext/class="), s("class_uid"), F.lit("/region=local/account=0/day="), "event_day"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'a' WHEN user_id % 4 = 1 THEN 'a,b' ELSE '*' END AS packs FROM events WHERE user_id % 4 <> 3")
+@query("""WITH e AS (SELECT event_type, user_id % 4 AS host, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 3 THEN 'c' WHEN 4 THEN 'd' END AS pack FROM events),
+o AS (SELECT *, coalesce(host = 2 OR (host < 2 AND pack = 'a') OR (host = 1 AND pack = 'b'), false) AS may FROM e),
+f AS (SELECT *, CASE WHEN may THEN CASE k WHEN 0 THEN CASE WHEN event_type IN ('error', 'signup') THEN 'kv-errors' WHEN event_type = 'view' THEN 'kv-views' END WHEN 1 THEN 'json' WHEN 4 THEN CASE WHEN event_type IN ('click', 'view') THEN 'tokens' END END END AS family FROM o)
+SELECT host, coalesce(family, '-') AS family, CASE WHEN family IS NOT NULL THEN 'routed' WHEN NOT may OR k = 2 THEN 'routing' WHEN k = 3 THEN 'routing_ambiguous' ELSE 'routing_drift' END AS stage, count(*) AS n FROM f GROUP BY 1, 2, 3""")
 def source_bindings(spark, sf_dir):
-    """Sources' allow-lists; a source without a binding may use all. Bindings that allow nothing are filtered."""
+    """Routing under sources' allow-lists: a bound source's events go to its packs' families only; one without a binding may use all."""
+    from siltline.plans.roundtrips import families, mixed_lines
+
     bindings = spark.createDataFrame([(0, ["a"]), (1, ["a", "b"]), (3, [])], "host long, packs array<string>")
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("host"))
-    j = e.join(F.broadcast(bindings), "host", "left").where("packs IS NULL OR size(packs) > 0")  # the bindings are configuration
-    return j.select("event_id", F.coalesce(F.array_join("packs", ","), F.lit("*")).alias("packs"))
+    lines = mixed_lines(spark, sf_dir).withColumn("host", F.col("user_id") % 4)
+    bound = lines.join(F.broadcast(bindings), "host", "left")  # the bindings are configuration
+    r = routing.route(routing.surfaced(bound), families(), allowed="packs")
+    return r.groupBy("host", F.coalesce("family", F.lit("-")).alias("family"), "stage").agg(F.count("*").alias("n"))
 
 
 # ---- joins
 
 
-@query("SELECT doc_id, start + 1 AS at, substr(text, start + 1, 12) AS slice, sha256(substr(text, start + 1, 12)) AS raw_hash FROM (SELECT doc_id, text, doc_id % 40 AS start FROM documents)")
+@query("""WITH q AS (SELECT doc_id AS segment, doc_id % 40 AS start, 12 + doc_id % 300 AS n, hex(encode(coalesce(text, ''))) AS h, hex(encode(concat('é', coalesce(text, '')))) AS other FROM documents),
+c AS (SELECT segment, substr(h, 2 * start + 1, 2 * n) AS want, CASE WHEN segment % 11 <> 0 THEN substr(CASE WHEN segment % 7 = 0 THEN other ELSE h END, 2 * start + 1, 2 * n) END AS got FROM q)
+SELECT segment, got AS bytes, CASE WHEN got IS NULL THEN 'missing' WHEN sha256(unhex(got)) = sha256(unhex(want)) THEN 'ok' ELSE 'altered' END AS state FROM c""")
 def quarantine_raw(spark, sf_dir):
-    """Quarantined records with their raw bytes, cut from the segment by place and checked by hash."""
-    d = table(spark, sf_dir, "documents")
-    quarantine = d.select(F.col("doc_id").alias("segment"), (F.col("doc_id") % 40).cast("int").alias("start"), F.lit(12).alias("length"))
-    j = d.join(quarantine, F.col("doc_id") == F.col("segment"))
-    cut = F.substring("text", F.col("start") + 1, F.col("length"))
-    return j.select("doc_id", (F.col("start") + 1).cast("long").alias("at"), cut.alias("slice"), F.sha2(cut, 256).alias("raw_hash"))
-
-
-@query("SELECT pair, verdict, count(*) AS n FROM (SELECT unnest(['int', 'lower', 'suffix']) AS pair, CASE WHEN o_custkey % 2 = 0 THEN 'agree' ELSE 'differ' END AS verdict FROM orders) GROUP BY 1, 2")
+    """Quarantined records with their raw bytes, cut from the stored segment by place and checked by the record's hash."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    start, n = (F.col("segment") % 40).cast("int"), (12 + F.col("segment") % 300).cast("int")
+    records = d.select("segment", start.alias("start"), n.alias("length"), C.evidence_hash(F.substr("raw", start + 1, n)).alias("raw_hash"))
+    # The store has lost some segments, and others were changed.
+    store = d.where("segment % 11 <> 0").select("segment", F.when(F.col("segment") % 7 == 0, F.concat(F.lit("é").cast("binary"), F.col("raw"))).otherwise(F.col("raw")).alias("raw"))
+    return provenance.sliced(records, store).select("segment", F.hex("slice").alias("bytes"), "state")
+
+
+CROSSWALK = (
+    agreement.Pair("uid", "user", "int"), agreement.Pair("type", "type", "lower"), agreement.Pair("at", "time", "epoch_ms"),
+    agreement.Pair("src", "addr", "ip"), agreement.Pair("path", "leaf", "suffix"), agreement.Pair("kind", "type", "exact"),
+)
+
+
+@query(f"""WITH e AS (SELECT *, event_id % 9 <> 0 AS there FROM events), c AS (
+SELECT 'uid' AS attribute, 'user' AS theirs, CASE WHEN event_id % 3 = 0 THEN 'differ' ELSE 'agree' END AS verdict FROM e WHERE there
+UNION ALL SELECT 'type', 'type', 'agree' FROM e WHERE there
+UNION ALL SELECT 'at', 'time', CASE WHEN event_id % 10 = 1 THEN 'differ' ELSE 'agree' END FROM e WHERE there
+UNION ALL SELECT 'src', 'addr', CASE WHEN event_id % 7 = 0 THEN 'theirs_only' ELSE 'agree' END FROM e WHERE there
+UNION ALL SELECT 'path', 'leaf', CASE WHEN event_id % 4 = 0 THEN 'ours_only' WHEN event_id % 4 = 1 THEN 'differ' ELSE 'agree' END FROM e WHERE there
+UNION ALL SELECT 'kind', 'type', CASE WHEN event_id % 6 = 0 THEN 'theirs_only' WHEN event_id % 6 = 1 THEN 'differ' ELSE 'agree' END FROM e WHERE there
+UNION ALL SELECT '-', '-', 'unpaired: ours' FROM e WHERE NOT there)
+SELECT attribute, theirs, verdict, count(*) AS n FROM c GROUP BY 1, 2, 3""")
 def crosswalk(spark, sf_dir):
-    """Each event against each row of a small crosswalk, compared by the row's own rule."""
-    rows = [("int", "07", "7", "8"), ("lower", "AbC", "aBc", "x"), ("suffix", "a.b.c", "b.c", "d")]
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), F.lit(a).alias("ours"), F.lit(b).alias("even"), F.lit(c).alias("odd")) for p, a, b, c in rows))).alias("r")).select("o_custkey", "r.*")
-    theirs = F.when(F.col("o_custkey") % 2 == 0, F.col("even")).otherwise(F.col("odd"))
-    same = F.when(F.col("pair") == "int", F.col("ours").try_cast("long") == theirs.try_cast("long")).when(F.col("pair") == "lower", F.lower("ours") == F.lower(theirs)).otherwise(F.col("ours").endswith(theirs))
-    return o.groupBy("pair", F.when(same, "agree").otherwise("differ").alias("verdict")).agg(F.count("*").alias("n"))
+    """Our values against another parser's for the same lines, each pair of attributes by its own rule; lines without a partner are counted."""
+    e = table(spark, sf_dir, "events").withColumn("line", F.concat(F.lit("e"), s("event_id"), F.lit(" "), "props"))
+    k = F.col("event_id")
+    ours = e.select("line", F.lpad(s("user_id"), 6, "0").alias("uid"), F.upper("event_type").alias("type"), ms().cast("string").alias("at"), F.when(k % 7 != 0, host()).alias("src"), F.concat(F.lit("a.b."), "event_type").alias("path"), F.when(k % 6 == 1, F.upper("event_type")).when(k % 6 != 0, F.col("event_type")).alias("kind"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    theirs = e.where("event_id % 9 <> 0").select("line", (F.col("user_id") + (k % 3 == 0).cast("int")).cast("string").alias("user"), F.col("event_type").alias("type"), (micros + F.when(k % 10 == 1, 5_000_000).otherwise(0)).cast("string").alias("time"), F.concat(F.lit(" "), host()).alias("addr"), F.when(k % 4 == 1, "zz").when(k % 4 != 0, F.col("event_type")).alias("leaf"))
+    both, alone = agreement.paired(ours, theirs)
+    left = alone.groupBy(F.lit("-").alias("attribute"), F.lit("-").alias("theirs"), F.concat(F.lit("unpaired: "), "side").alias("verdict")).agg(F.count("*").alias("n"))
+    return agreement.tally(both, list(CROSSWALK)).unionByName(left)
 
 
 @query("SELECT o_orderkey, CASE WHEN l.l_orderkey IS NULL THEN 'pending' ELSE 'delivered' END AS outcome FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l_orderkey = o_orderkey")
@@ -95,36 +124,42 @@ def outcome_join(spark, sf_dir):
     return o.join(l, "o_orderkey", "left").select("o_orderkey", F.when(F.col("seen"), "delivered").otherwise("pending").alias("outcome"))
 
 
-@query("WITH d AS (SELECT max(event_id // 1000) AS s0 FROM events WHERE event_id < (SELECT count(*) FROM events) // 2) SELECT event_id FROM events, d WHERE event_type <> 'signup' AND (event_id // 1000 > s0 OR (event_id // 1000 = s0 AND event_id % 1000 > 500))")
+@query("WITH d AS (SELECT max(event_id) AS m FROM events WHERE event_type = 'purchase' AND event_id < (SELECT count(*) // 2 FROM events)) SELECT event_id FROM events, d WHERE event_type <> 'signup' AND (event_id // 100 > m // 100 OR (event_id // 100 = m // 100 AND event_id % 100 > m % 100))")
 def undelivered(spark, sf_dir):
-    """Records after the last that was delivered, by segment and offset, without gap records."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 1000).alias("segment"), (F.col("event_id") % 1000).alias("offset"))
-    half = F.broadcast(e.agg(F.floor(F.count("*") / 2).alias("h")))
-    last = F.broadcast(e.join(half, F.col("event_id") < F.col("h")).agg(F.max("segment").alias("s0")))
-    j = e.where("event_type <> 'signup'").join(last, (F.col("segment") > F.col("s0")) | ((F.col("segment") == F.col("s0")) & (F.col("offset") > 500)))
-    return j.select("event_id")
+    """Records after the last that was delivered, by segment and offset, without gap records (here: signups)."""
+    place = (F.floor(F.col("event_id") / 100).alias("segment"), (F.col("event_id") % 100).alias("offset"))
+    e = table(spark, sf_dir, "events")
+    half = F.broadcast(e.agg(F.floor(F.count("*") / 2).alias("h")))  # one row
+    delivered = e.where("event_type = 'purchase'").join(half, F.col("event_id") < F.col("h")).select(*place)
+    return provenance.undelivered(e.select("event_id", *place, (F.col("event_type") == "signup").alias("gap")), delivered).select("event_id")
 
 
-@query("SELECT c.c_custkey, coalesce(n.n_name, 'open') AS decision FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON n.n_nationkey = c.c_nationkey")
+@query("SELECT c_custkey AS field, n_name AS attribute, CASE WHEN n_name IS NULL THEN 'open' ELSE 'propagated' END AS origin FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON n_nationkey = c_nationkey")
 def propagation(spark, sf_dir):
-    """Slots with what was decided for their key before, or open."""
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
-    return c.join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("open")).alias("decision"))
+    """Fields with what was decided for their key before, or open."""
+    fields = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("field"), F.col("c_nationkey").alias("slot_key"))
+    store = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("slot_key"), F.col("n_name").alias("attribute"))
+    return onboarding.propagated(fields, store)
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND n_name LIKE '%' || substr(r_name, 1, 0) || '%'")
+@query("WITH c (class, pattern, leaf) AS (VALUES ('rings', '%ring', 'ECONOMY'), ('reds', 'red %', 'ECONOMY'), ('middle', '%l%r%', 'SMALL'), ('nine', '_________', 'LARGE'), ('none', 'x%', 'LARGE')) SELECT class, p_name AS member, p_type AS leaf, count(*) AS n FROM part JOIN c ON p_type = leaf AND p_name LIKE pattern GROUP BY 1, 2, 3")
 def rivals(spark, sf_dir):
-    """Members of an ambiguity class by wildcard."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).where(F.expr("n_name LIKE concat('%', substr(r_name, 1, 0), '%')")).select("n_name", "r_name")
+    """Members of ambiguity classes by wildcard, at the same leaf."""
+    classes = spark.createDataFrame([("rings", "*ring", "ECONOMY"), ("reds", "red *", "ECONOMY"), ("middle", "*l*r*", "SMALL"), ("nine", "?????????", "LARGE"), ("none", "x*", "LARGE")], "class string, pattern string, leaf string")
+    members = table(spark, sf_dir, "part").select(F.col("p_name").alias("member"), F.col("p_type").alias("leaf"))
+    return onboarding.rivals(members, classes).groupBy("class", "member", "leaf").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey AS segment, bool_and(l_quantity > 0) AND max(l_shipdate) < TIMESTAMP '2100-01-01' AND count(*) >= 2 AS deletable FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+@query("""WITH s AS (SELECT o_orderkey AS segment, o_orderstatus <> 'O' AS sealed, (o_orderkey % 1000) * 86400000 AS born FROM orders), r AS (SELECT DISTINCT l_orderkey AS segment FROM lineitem)
+SELECT segment, why IS NULL AS deletable, why FROM (SELECT s.segment, CASE WHEN NOT sealed THEN 'open' WHEN r.segment IS NULL THEN 'no_receipt' WHEN s.segment % 6 = 0 THEN 'hash' WHEN s.segment % 8 = 1 THEN 'not_committed' WHEN born > CAST(600 AS BIGINT) * 86400000 THEN 'young' END AS why FROM s LEFT JOIN r ON r.segment = s.segment)""")
 def deletable_segments(spark, sf_dir):
-    """Shipped segments that meet every condition of deletion."""
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("segment")).agg(F.bool_and(F.col("l_quantity") > 0).alias("read_back"), F.max("l_shipdate").alias("shipped"), F.count("*").alias("copies"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"))
-    return l.join(o, "segment").select("segment", (F.col("read_back") & (F.col("shipped") < F.lit("2100-01-01").cast("timestamp")) & (F.col("copies") >= 2)).alias("deletable"))
+    """Local segments that may be deleted, and why the others may not: open, not shipped, shipped altered, not committed, too young."""
+    segments = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment"), (F.col("o_orderstatus") != "O").alias("sealed"), (F.col("o_orderkey") % 1000 * 86_400_000).alias("sealed_ms"), F.sha2(s("o_orderkey"), 256).alias("sha256"))
+    receipts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("segment")).distinct()
+    receipts = receipts.select("segment", F.sha2(F.when(F.col("segment") % 6 == 0, "altered").otherwise(s("segment")), 256).alias("sha256"))
+    # A checkpoint names at most 50 segments.
+    stored = segments.where("segment % 8 <> 1").groupBy(F.floor(F.col("segment") / 50).alias("checkpoint")).agg(F.collect_list("segment").alias("segments"))
+    return provenance.deletable(segments, receipts, stored, 900 * 86_400_000, 300 * 86_400_000)
 
 
 # ---- aggregates and windows
@@ -216,12 +251,15 @@ def drift_signals(spark, sf_dir):
     return d.groupBy("event_type", "source").agg(F.sum("c").alias("n"), F.array_join(F.array_sort(F.collect_list("k")), ",").alias("ids"))
 
 
-@query("SELECT channel, count(*) AS n FROM (SELECT 'tcp' AS channel, event_id FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'http', event_id FROM events WHERE event_id % 2 = 1) GROUP BY 1")
+@query("""WITH p AS (SELECT replace(html, '<li>', chr(10)) AS t FROM pages WHERE html IS NOT NULL), l AS (SELECT length(t) - length(replace(t, chr(10), '')) AS breaks, strlen(t) AS size, CASE WHEN t <> '' AND right(t, 1) <> chr(10) THEN 1 ELSE 0 END AS open FROM p)
+SELECT 'tcp' AS channel, 'newline' AS method, CAST(sum(breaks + open) AS BIGINT) AS n, CAST(sum(size - breaks) AS BIGINT) AS bytes FROM l UNION ALL SELECT 'http', 'octet_counted', 2 * count(*), CAST(sum(strlen(c_name) + 3) AS BIGINT) FROM customer""")
 def two_connectors(spark, sf_dir):
-    """Two sources in one run, each frame with its channel."""
-    e = table(spark, sf_dir, "events").select("event_id")
-    both = e.where("event_id % 2 = 0").withColumn("channel", F.lit("tcp")).unionByName(e.where("event_id % 2 = 1").withColumn("channel", F.lit("http")))
-    return both.groupBy("channel").agg(F.count("*").alias("n"))
+    """Two sources in one run, framed each in its way (by lines, by octet counts), every frame with its channel."""
+    tcp = table(spark, sf_dir, "pages").select(F.replace("html", F.lit("<li>"), F.lit("\n")).cast("binary").alias("content"))
+    name = F.col("c_name")
+    http = table(spark, sf_dir, "customer").select(F.concat(F.octet_length(name).cast("string"), F.lit(" "), name, F.lit("3 a\nb")).cast("binary").alias("content"))
+    both = frames.frames(tcp, "newline").withColumn("channel", F.lit("tcp")).unionByName(frames.frames(http, "octet").withColumn("channel", F.lit("http")))
+    return both.groupBy("channel", F.col("framing.method").alias("method")).agg(F.count("*").alias("n"), F.sum(F.octet_length("raw")).cast("long").alias("bytes"))
 
 
 @query("SELECT stratum, seen, usable, round(usable / seen, 9) AS share, CASE WHEN usable / seen >= 0.9 THEN 'covered' WHEN usable / seen >= 0.5 THEN 'partial' ELSE 'open' END AS band FROM (SELECT user_id % 12 AS stratum, count(*) AS seen, count(*) FILTER (event_type <> 'error' AND user_id % 12 <> 3) AS usable FROM events GROUP BY 1)")

@@ -92,3 +92,14 @@ def candidates(fields: DataFrame, attributes: DataFrame) -> DataFrame:
 def propagated(fields: DataFrame, store: DataFrame) -> DataFrame:
     """What earlier decisions say about fields of the same key: (field, attribute, origin)."""
     return fields.join(store, "slot_key", "left").select("field", "attribute", F.when(F.col("attribute").isNotNull(), "propagated").otherwise("open").alias("origin"))
+
+
+def rivals(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, member, leaf) of the members (member, leaf) whose name a class's wildcard (class, pattern, leaf) matches, at the same leaf.
+
+    Wildcards: ``*`` any characters, ``?`` one.
+    """
+    # Everything but the wildcards stands for itself.
+    quoted = F.regexp_replace("pattern", r"([^A-Za-z0-9*?])", r"\\$1")
+    matches = F.rlike(F.col("member"), F.concat(F.lit("^(?s)"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("\\z")))
+    return members.join(classes, "leaf").where(matches).select("class", "member", "leaf")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltline.functions import columns as C
 from siltline.operators import envelopes, normalize, parser, provenance, routing
 from siltline.plans import fastpath
-from siltline.plans.analytics import HOST, host, ms, table
+from siltline.plans.analytics import HOST, host, ms, spread, table
 from siltline.sources import frames
 
 QUERIES: dict = {}
@@ -46,20 +46,41 @@ def kv_line() -> Column:
 
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", kv_line().alias("payload"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", kv_line().alias("payload"))
 
 
 @query(f"SELECT event_id AS id, epoch_us(ts) // 1000 AS time_ms, user_id AS user, event_type AS type, {HOST} AS src, round(value, 2) AS value FROM events")
 def kv_roundtrip(spark, sf_dir):
-    p = parser.parse(kv_lines(spark, sf_dir), KV_SPEC)
-    return p.select(value("id", "v_long").alias("id"), value("time", "v_long").alias("time_ms"), value("user", "v_long").alias("user"), text("type").alias("type"), value("src", "v_string").alias("src"), value("value", "v_double").alias("value"))
+    """Values by the fast path; lines that don't fit it (none here) by the parser."""
+    return fastpath.values(kv_lines(spark, sf_dir), KV_SPEC, {"id": "id", "time_ms": "time", "user": "user", "type": "type", "src": "src", "value": "value"})
 
 
 @query(f"SELECT event_id AS id, epoch_us(ts) // 1000 AS time_ms, user_id AS user, event_type AS type, {HOST} AS src, round(value, 2) AS value FROM events")
 def kv_fast_path(spark, sf_dir):
-    """The same without Python: the specification as native expressions."""
+    """The same for lines that are known to fit: the specification as native expressions alone."""
     v = fastpath.columns(KV_SPEC, "payload")
-    return kv_lines(spark, sf_dir).select(C.to_int(v["id"]).alias("id"), C.epoch_auto(C.to_int(v["time"])).alias("time_ms"), C.to_int(v["user"]).alias("user"), v["type"].alias("type"), C.to_ipv4(v["src"]).alias("src"), C.to_float(v["value"]).alias("value"))
+    lines = kv_lines(spark, sf_dir).select(*(c.alias(k) for k, c in v.items()))
+    return lines.select(C.to_int("id").alias("id"), C.epoch_auto(C.to_int("time")).alias("time_ms"), C.to_int("user").alias("user"), "type", C.to_ipv4("src").alias("src"), C.to_float("value").alias("value"))
+
+
+@query(f"SELECT event_id AS id, epoch_us(ts) // 1000 AS time_ms, user_id AS user, event_type AS type, {HOST} AS src, round(value, 2) AS value FROM events WHERE event_id % 4 <> 3")
+def kv_parser(spark, sf_dir):
+    """The same by the parser alone, with quoted values and another order; a pair that is there twice is refused."""
+    k = F.col("event_id") % 4
+    odd = F.concat(F.lit("type="), F.col("event_type"), F.lit(' user="'), s("user_id"), F.lit('" value='), F.format_string("%.2f", "value"), F.lit("  src="), host(), F.lit(" id="), s("event_id"), F.lit(" time="), ms().cast("string"))
+    twice = F.concat(kv_line(), F.lit(" id=1"))
+    lines = table(spark, sf_dir, "events").select(F.when(k == 0, odd).when(k == 3, twice).otherwise(kv_line()).alias("payload"))
+    p = parser.parse(lines, KV_SPEC).where("parsed.status = 'ok'")
+    return p.select(value("id", "v_long").alias("id"), value("time", "v_long").alias("time_ms"), value("user", "v_long").alias("user"), text("type").alias("type"), value("src", "v_string").alias("src"), value("value", "v_double").alias("value"))
+
+
+@query(f"SELECT event_id AS id, epoch_us(ts) // 1000 AS time_ms, user_id AS user, event_type AS type, {HOST} AS src, round(value, 2) AS value FROM events WHERE event_id % 4 <> 3")
+def kv_mixed(spark, sf_dir):
+    """The lines of kv_parser, where only some fit the fast path: the values are the same."""
+    k = F.col("event_id") % 4
+    odd = F.concat(F.lit("type="), F.col("event_type"), F.lit(' user="'), s("user_id"), F.lit('" value='), F.format_string("%.2f", "value"), F.lit("  src="), host(), F.lit(" id="), s("event_id"), F.lit(" time="), ms().cast("string"))
+    lines = table(spark, sf_dir, "events").select(F.when(k == 0, odd).when(k == 3, F.concat(kv_line(), F.lit(" id=1"))).otherwise(kv_line()).alias("payload"))
+    return fastpath.values(lines, KV_SPEC, {"id": "id", "time_ms": "time", "user": "user", "type": "type", "src": "src", "value": "value"}).where("id IS NOT NULL")
 
 
 CSV_SPEC = {"id": "csv", "parse": {"op": "csv", "fields": [{"field": "key"} | INT, {"field": "name"}, {"field": "brand"}, {"field": "size"} | INT, {"field": "price", "class": "float", "coerce": {"to": "float"}}]}}
@@ -68,7 +89,15 @@ CSV_SPEC = {"id": "csv", "parse": {"op": "csv", "fields": [{"field": "key"} | IN
 @query("""SELECT p_partkey AS key, concat(p_name, ' "q", ', p_brand) AS name, p_brand AS brand, CAST(p_size AS BIGINT) AS size, p_retailprice AS price FROM part""")
 def csv_roundtrip(spark, sf_dir):
     quoted = F.concat(F.lit('"'), F.replace(F.concat("p_name", F.lit(' "q", '), "p_brand"), F.lit('"'), F.lit('""')), F.lit('"'))
-    lines = table(spark, sf_dir, "part").select(F.concat_ws(",", s("p_partkey"), quoted, "p_brand", s("p_size"), s("p_retailprice")).alias("payload"))
+    lines = spread(table(spark, sf_dir, "part")).select(F.concat_ws(",", s("p_partkey"), quoted, "p_brand", s("p_size"), s("p_retailprice")).alias("payload"))
+    return fastpath.values(lines, CSV_SPEC, {c: c for c in ("key", "name", "brand", "size", "price")})
+
+
+@query("""SELECT p_partkey AS key, concat(p_name, ' "q", ', p_brand) AS name, p_brand AS brand, CAST(p_size AS BIGINT) AS size, p_retailprice AS price FROM part""")
+def csv_parser(spark, sf_dir):
+    """The same by the parser alone."""
+    quoted = F.concat(F.lit('"'), F.replace(F.concat("p_name", F.lit(' "q", '), "p_brand"), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = spread(table(spark, sf_dir, "part")).select(F.concat_ws(",", s("p_partkey"), quoted, "p_brand", s("p_size"), s("p_retailprice")).alias("payload"))
     p = parser.parse(lines, CSV_SPEC)
     # A quoted cell's span has its quotes; its text is what they hold.
     return p.select(value("key", "v_long").alias("key"), text("name").alias("name"), text("brand").alias("brand"), value("size", "v_long").alias("size"), value("price", "v_double").alias("price"))
@@ -79,10 +108,17 @@ POSITIONAL_SPEC = {"id": "positional", "parse": {"op": "positional", "slots": [{
 
 @query("SELECT l_orderkey AS \"order\", l_linenumber AS line, l_returnflag AS flag, l_linestatus AS status, l_quantity AS quantity, concat('line ', l_linenumber, '  end') AS rest FROM lineitem")
 def positional_roundtrip(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem"))
     lines = l.select("l_linenumber", F.concat(s("l_orderkey"), F.lit("  "), F.concat_ws("/", "l_returnflag", "l_linestatus"), F.lit("\t"), s("l_quantity"), F.lit(" line "), s("l_linenumber"), F.lit("  end")).alias("payload"))
+    return fastpath.values(lines, POSITIONAL_SPEC, {c: c for c in ("order", "flag", "status", "quantity", "rest")}, keep=("l_linenumber",)).withColumnRenamed("l_linenumber", "line")
+
+
+@query("SELECT o_orderkey AS \"order\", substr(o_orderstatus, 1, 1) AS flag, 'Z' AS status, o_totalprice AS quantity, concat('by ', o_orderpriority) AS rest FROM orders")
+def positional_parser(spark, sf_dir):
+    """The same specification by the parser alone, over other lines."""
+    lines = table(spark, sf_dir, "orders").select(F.concat(s("o_orderkey"), F.lit(" "), F.concat_ws("/", F.substring("o_orderstatus", 1, 1), F.lit("Z")), F.lit("  "), s("o_totalprice"), F.lit(" by "), "o_orderpriority").alias("payload"))
     p = parser.parse(lines, POSITIONAL_SPEC)
-    return p.select(value("order", "v_long").alias("order"), F.col("l_linenumber").alias("line"), text("flag").alias("flag"), text("status").alias("status"), value("quantity", "v_double").alias("quantity"), text("rest").alias("rest"))
+    return p.select(value("order", "v_long").alias("order"), text("flag").alias("flag"), text("status").alias("status"), value("quantity", "v_double").alias("quantity"), text("rest").alias("rest"))
 
 
 JSON_SPEC = {"id": "json", "parse": {"op": "json", "keys": {"id": INT, "user.id": INT, "props.k": INT, "tags": {}, "note": {}}}}
@@ -94,7 +130,7 @@ def json_line() -> Column:
 
 @query("""SELECT event_id AS id, user_id AS user, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, concat('["a", "', event_type, '"]') AS tags, concat('tab', chr(9), 'é "x"') AS note FROM events""")
 def json_roundtrip(spark, sf_dir):
-    p = parser.parse(table(spark, sf_dir, "events").select(json_line().alias("payload")), JSON_SPEC)
+    p = parser.parse(spread(table(spark, sf_dir, "events")).select(json_line().alias("payload")), JSON_SPEC)
     return p.select(value("id", "v_long").alias("id"), value("user.id", "v_long").alias("user"), value("props.k", "v_long").alias("k"), text("tags").alias("tags"), text("note").alias("note"))
 
 
@@ -135,7 +171,7 @@ def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     csv = F.concat_ws(",", s("event_id"), "event_type", s("user_id"), F.lit('"a,b"'), *(F.lit(str(n)) for n in range(6)))
     plain = F.concat_ws(" ", s("event_id"), "event_type", host(), F.lit("done"))
     line = F.when(k == 0, kv_line()).when(k == 1, json_line()).when(k == 2, xml).when(k == 3, csv).otherwise(plain)
-    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", line.alias("payload"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", "event_type", "user_id", line.alias("payload"))
 
 
 @query("SELECT ['kv', 'json', 'xml', 'csv', 'tokens'][event_id % 5 + 1] AS l2, count(*) AS n, sum([6, 0, 0, 10, 4][event_id % 5 + 1]) AS cells FROM events GROUP BY 1")
@@ -166,7 +202,7 @@ def routing_outcomes(spark, sf_dir):
 @query(f"SELECT event_id, 1704067200000 + event_id AS received, concat('<134>1 2024-01-01T00:09:58Z h', user_id) AS head, CASE WHEN event_id % 3 = 0 THEN 'rfc5424,rfc3164' WHEN event_id % 3 = 1 THEN 'rfc3164,cef' ELSE 'leef' END AS kinds, CASE WHEN event_id % 3 = 0 THEN event_id END AS sequence, CASE WHEN event_id % 3 < 2 THEN concat('d', user_id) END AS hostname, concat('id=', event_id, ' src=', {HOST}) AS payload FROM events")
 def envelope_chain(spark, sf_dir):
     """Relayed lines unwrapped to their payload, at most two syslog levels and a CEF or LEEF header."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     body = F.concat(F.lit("id="), s("event_id"), F.lit(" src="), host())
     k = F.col("event_id") % 3
     inner = F.concat(F.lit("<13>Jan  1 00:09:58 d"), s("user_id"), F.lit(" "))
@@ -190,8 +226,11 @@ MAPPINGS = [
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parser.parse(kv_lines(spark, sf_dir), KV_SPEC)
-    return normalize.normalize(p, MAPPINGS, 4001, activity="activity_id", metadata={"product": "siltline"}, lineage=("event_id",))
+    """Lines that fit are never parsed: their values are read by native expressions; the rest goes through the parser."""
+    options = {"activity": "activity_id", "metadata": {"product": "siltline"}, "lineage": ("event_id",)}
+    fast, slow = fastpath.mapped(kv_lines(spark, sf_dir), KV_SPEC)
+    made = [normalize.normalize(fast, MAPPINGS, 4001, values="_values", **options), normalize.normalize(parser.parse(slow, KV_SPEC), MAPPINGS, 4001, **options)]
+    return made[0].select("event_id", "event", "absent", "unmapped").unionByName(made[1].select("event_id", "event", "absent", "unmapped"))
 
 
 @query(f"SELECT event_id, epoch_us(ts) // 1000 AS time_ms, {HOST} AS ip, 400106 AS type_uid, 4 AS category_uid, CASE event_type WHEN 'error' THEN '4' WHEN 'view' THEN '1' ELSE '2' END AS severity_id, CASE event_type WHEN 'error' THEN 'Blocked' END AS disposition, user_id AS uid, CASE WHEN event_type = 'error' THEN 'duration:structural' ELSE 'disposition:transform_failed,duration:structural' END AS absent, event_id AS unmapped_id FROM events")
@@ -245,19 +284,37 @@ def newline_frames(spark, sf_dir):
     return kept.select("page_id", (marks - marks / 3).cast("long").alias("removed"))
 
 
-@query("SELECT o_orderkey AS segment, count(*) AS n FROM (SELECT l_orderkey AS o_orderkey FROM lineitem) GROUP BY 1")
+def level(x: str) -> str:
+    """SQL: the nodes over a list of hex hashes; an odd one goes up as it is."""
+    return f"list_transform(range(1, len({x}) + 1, 2), lambda i: CASE WHEN i < len({x}) THEN sha256(unhex('01' || {x}[i] || {x}[i + 1])) ELSE {x}[i] END)"
+
+
+LEAVES = "WITH r AS (SELECT event_id // 13 AS segment, event_id AS o, concat_ws('|', event_id, event_type, props) AS raw FROM events), l AS (SELECT segment, o, sha256(unhex('00' || hex('siltline-leaf-v1') || hex(CAST(segment AS VARCHAR)) || printf('%016x', o) || printf('%08x', length(raw)) || sha256(raw))) AS leaf FROM r)"
+ROOTS = f"{LEAVES}, t0 AS (SELECT segment, list(leaf ORDER BY o) AS x, count(*) AS n FROM l GROUP BY 1), " + ", ".join(f"t{k + 1} AS (SELECT segment, n, {level('x')} AS x FROM t{k})" for k in range(4))
+
+
+def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    raw = F.concat_ws("|", s("event_id"), "event_type", "props")
+    return e.select(F.floor(F.col("event_id") / 13).cast("long").alias("segment"), F.col("event_id").alias("offset"), F.length(raw).alias("length"), C.evidence_hash(raw).alias("raw_hash"))
+
+
+@query(f"{LEAVES} SELECT segment, o AS place, leaf FROM l")
 def merkle_leaves(spark, sf_dir):
-    """How many leaves each segment's tree has; the tests hold the roots against plain hashing."""
-    return merkle_roots(spark, sf_dir).select("segment", "n")
+    """Every record's leaf."""
+    return provenance.leaves(segment_records(spark, sf_dir)).select("segment", F.col("offset").alias("place"), "leaf")
 
 
-@query()
+@query(f"{ROOTS} SELECT segment, n, x[1] AS root FROM t4")
 def merkle_roots(spark, sf_dir):
     """The root of each segment's tree over its records, in order."""
-    l = table(spark, sf_dir, "lineitem")
-    raw = F.concat_ws("|", *(s(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")))
-    leaves = l.select(F.col("l_orderkey").alias("segment"), F.col("l_linenumber").cast("long").alias("offset"), F.length(raw).alias("length"), C.evidence_hash(raw).alias("raw_hash"))
-    return provenance.roots(leaves)
+    return provenance.roots(segment_records(spark, sf_dir))
+
+
+@query(f"{ROOTS.replace('WITH', 'WITH RECURSIVE', 1)}, m0 AS (SELECT segment // 3 AS minute, list(x[1] ORDER BY segment) AS x, count(*) AS n FROM t4 GROUP BY 1), m1 AS (SELECT minute, n, {level('x')} AS x FROM m0), m2 AS (SELECT minute, n, ({level('x')})[1] AS root FROM m1), m AS (SELECT *, row_number() OVER (ORDER BY minute) AS k FROM m2), c AS (SELECT k, minute, n, root, repeat('0', 64) AS prev, sha256(concat_ws('|', 'siltline-checkpoint-v1', minute, n, root, repeat('0', 64))) AS hash FROM m WHERE k = 1 UNION ALL SELECT m.k, m.minute, m.n, m.root, c.hash, sha256(concat_ws('|', 'siltline-checkpoint-v1', m.minute, m.n, m.root, c.hash)) FROM c JOIN m ON m.k = c.k + 1) SELECT minute, n AS n_segments, root, prev, hash FROM c")
+def checkpoint_chain(spark, sf_dir):
+    """Checkpoints over segments' roots, each with the hash of the whole one before."""
+    return provenance.checkpoints(merkle_roots(spark, sf_dir).withColumn("minute", F.floor(F.col("segment") / 3).cast("long")))
 
 
 @query("SELECT user_id AS peer, count(*) AS n, count(*) // 50 + CASE WHEN count(*) % 50 > 0 THEN 1 ELSE 0 END AS segments FROM events GROUP BY 1")

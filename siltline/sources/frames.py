@@ -136,22 +136,30 @@ def files(spark: SparkSession, path: str, stream: bool = False, schema: str | No
     return reader.format("binaryFile").load(path).where(~F.col("path").rlike(r"(?:/\.[^/]*|\.done)$"))
 
 
-def multiline(df: DataFrame, start: str, partition: list[str], order: str, text: str = "raw", most_lines: int = 512) -> DataFrame:
+def multiline(df: DataFrame, start: str, partition: list[str], order: str, text: str = "raw", most_lines: int = 512, end: str | None = None, most_bytes: int = 1 << 20) -> DataFrame:
     """Lines joined into records: each line that matches ``start`` begins one.
 
-    One row for each record: ``partition``, record, first (the order of its first line), n_lines, text (terminators
-    kept), confidence (low where no start began it or ``most_lines`` ended it).
+    One row for each record: ``partition``, record, first (the order of its first line), n_lines, raw (the lines' bytes with
+    their own terminators between them, which the binary column ``end`` has; LF without one), suffix (the last one's), text (raw as
+    a string, null if it isn't UTF-8), confidence (low where no start began it, or where ``most_lines`` lines or
+    ``most_bytes`` bytes ended it: a record goes on in the next row at every such many lines, or bytes before a line).
     """
     w = Window.partitionBy(*partition).orderBy(order)
-    marked = df.withColumn("_s", F.col(text).cast("string").rlike(start).cast("int")).withColumn("_r", F.sum("_s").over(w))
-    # A record of more than ``most_lines`` lines goes on in the next.
-    marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy(*partition, "_r").orderBy(order)) - 1).withColumn("_p", F.floor(F.col("_n") / most_lines))
-    groups = marked.groupBy(*partition, "_r", "_p").agg(
-        F.min(order).alias("first"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).cast("string").alias("t")))).alias("l")
+    bytes_, ends = F.col(text).cast("binary"), F.col(end).cast("binary") if end else F.lit(b"\n")
+    own = df.withColumn("_b", bytes_).withColumn("_e", F.coalesce(ends, F.lit(b"")))
+    marked = own.withColumn("_s", F.coalesce(F.col("_b").cast("string").rlike(start), F.lit(False)).cast("int")).withColumn("_r", F.sum("_s").over(w))
+    within = Window.partitionBy(*partition, "_r").orderBy(order)
+    size = F.octet_length("_b") + F.octet_length("_e")
+    before = F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = marked.withColumn("_l", F.floor((F.row_number().over(within) - 1) / most_lines)).withColumn("_p", F.floor(before / most_bytes))
+    groups = marked.groupBy(*partition, "_r", "_l", "_p").agg(
+        F.min(order).alias("first"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.hex("_b").alias("h"), F.hex("_e").alias("e")))).alias("l")
     )
-    joined = F.array_join(F.transform("l", lambda x: x["t"]), "\n")
-    low = (F.col("_r") == 0) | (F.col("_p") > 0) | (F.col("n_lines") >= most_lines)
-    return groups.select(*partition, F.col("_r").alias("record"), "first", "n_lines", joined.alias("text"), F.when(low, "low").otherwise("high").alias("confidence"))
+    last = F.get("l", F.size("l") - 1)
+    hexed = F.concat(F.array_join(F.transform(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))), lambda x: F.concat(x["h"], x["e"])), ""), last["h"])
+    low = (F.col("_r") == 0) | (F.col("_l") + F.col("_p") > 0) | (F.col("n_lines") >= most_lines)
+    out = groups.withColumn("raw", F.unhex(hexed))
+    return out.select(*partition, F.col("_r").alias("record"), "first", "n_lines", "raw", F.unhex(last["e"]).alias("suffix"), F.try_validate_utf8(F.col("raw").cast("string")).alias("text"), F.when(low, "low").otherwise("high").alias("confidence"))
 
 
 def reconstructed(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.functions import columns as C
+from siltline.operators import provenance
 
 PARTITIONS = ("region", "account_id", "event_day")
 
@@ -29,9 +30,15 @@ def write_events(events: DataFrame, path: str, batch: int | None = None, most_ro
 
 
 def content_hash(events: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, content): a hash over all rows that doesn't depend on their order."""
-    row = F.xxhash64(*columns).cast("decimal(38,0)")
-    return events.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("content"))
+    """(n, content): a SHA-256 over all rows that doesn't depend on their order.
+
+    Rows' hashes, in order, are a tree in each of 4096 ranges of hashes, and the ranges' roots, in order, are hashed.
+    """
+    rows = events.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("leaf")).withColumn("range", F.substring("leaf", 1, 3))
+    ranges = provenance.rooted(rows, "range", "leaf")
+    # A row for each of 4096 ranges at most.
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "root"))), lambda x: F.concat(x["range"], x["root"])), "|")
+    return ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(whole, 256).alias("content"))
 
 
 def version_path(path: str, version: int) -> str:

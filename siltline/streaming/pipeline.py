@@ -33,12 +33,17 @@ def evidence(files: DataFrame, method: str = "newline", ingest_ms: int | None =
     return f.select(name.alias("event_id"), "raw", C.evidence_hash("raw").alias("raw_hash"), "framing", "peer", (F.lit(ingest_ms).cast("long") if ingest_ms is not None else F.col("at")).alias("ingest_ms"))
 
 
-def interpreted(records: DataFrame, pack: Pack, allowed: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Events by family, and the quarantine: what was truncated, not routed, or didn't parse, with stage and reason."""
+def interpreted(records: DataFrame, pack: Pack, allowed: str | None = None, held: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Events by family, and the quarantine: what was truncated, not routed, or didn't parse, with stage and reason.
+
+    ``held`` may write an intermediate result and read it again: routed rows, and each family's parsed ones, have more than one
+    reader, and without it every reader would unwrap, route and parse anew.
+    """
     whole = F.col("framing.truncation_status") == "none"
     unwrapped = envelopes.unwrap(records.where(whole))
     kind = F.coalesce(F.get("chain.envelopes", F.size("chain.envelopes") - 1)["kind"], F.lit("raw"))
     routed = routing.route(routing.surfaced(unwrapped.withColumn("_l1", kind), envelope="_l1"), pack.families, allowed=allowed)
+    routed = held(routed.select("event_id", "raw_hash", "peer", "ingest_ms", "signature", "chain", "payload", "family", "stage", "candidates", "drift", "unowned"), "routed")
     keys = ["event_id", "raw_hash", "signature"]
     refused = [
         records.where(~whole).select("event_id", "raw_hash", F.lit(None).cast("string").alias("signature"), F.lit("framing").alias("stage"), F.col("framing.truncation_status").alias("reason")),
@@ -47,7 +52,7 @@ def interpreted(records: DataFrame, pack: Pack, allowed: str | None = None) -> t
     events = {}
     for family in pack.families:
         own = routed.where(F.col("family") == family.id).select("event_id", "raw_hash", "peer", "ingest_ms", "signature", "chain", "payload")
-        parsed = parser.parse(own, pack.specs[family.id], ingest_ms="ingest_ms")
+        parsed = held(parser.parse(own, pack.specs[family.id], ingest_ms="ingest_ms"), f"parsed-{family.id}")
         refused.append(parsed.where("parsed.status = 'failed'").select(*keys, F.lit("parse").alias("stage"), F.col("parsed.failure").alias("reason")))
         good = parsed.where("parsed.status = 'ok'")
         made = normalize.normalize(good, pack.mappings[family.id], pack.class_uid, metadata=pack.metadata, lineage=("event_id", "raw_hash"))
@@ -65,14 +70,22 @@ def batch_writer(path: str, pack: Callable[[], Pack], method: str = "newline") -
         spark = files.sparkSession
         place = f"{path}/evidence/batch_id={batch}"
         evidence(files, method).write.mode("overwrite").parquet(place)
-        held = spark.read.parquet(place)  # what is parsed is what was made durable
-        events, refused = interpreted(held, pack())
+        durable = spark.read.parquet(place)  # what is parsed is what was made durable
+        work = f"{path}/work/batch_id={batch}"
+
+        def held(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{work}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+        events, refused = interpreted(durable, pack(), held=held)
         made = None
         for df in events.values():
             made = df if made is None else made.unionByName(df)
         if made is not None:
             made.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/events/batch_id={batch}")
         refused.write.mode("overwrite").parquet(f"{path}/quarantine/batch_id={batch}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(work)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return write
 

@@ -237,6 +237,10 @@ def test_multiline(spark):
     df = spark.createDataFrame(lines, "peer int, seq int, raw string")
     got = [(r.peer, r.first, r.n_lines, r.confidence) for r in frames.multiline(df, "^START", ["peer"], "seq", most_lines=4).orderBy("peer", "first").collect()]
     assert got == [(1, 0, 1, "low"), (1, 1, 2, "high"), (1, 3, 1, "high"), (2, 0, 4, "low"), (2, 4, 2, "low")]
+    raw = [(0, b"S \xff", b"\r\n"), (1, b"two", b"\n"), (2, b"", b"\r\n"), (3, b"S x", b""), (4, b"y" * 30, b"\n"), (5, b"z", b"\n")]
+    rows = frames.multiline(spark.createDataFrame([(1, *r) for r in raw], "p int, seq int, raw binary, suffix binary"), "^S", ["p"], "seq", end="suffix", most_bytes=32).orderBy("first").collect()
+    assert b"".join(bytes(r.raw + r.suffix) for r in rows) == b"".join(a + b for _, a, b in raw)  # byte for byte
+    assert [(r.first, r.n_lines, r.text, r.confidence) for r in rows] == [(0, 3, None, "high"), (3, 2, "S x" + "y" * 30, "high"), (5, 1, "z", "low")]
 
 
 def test_signatures():

@@ -1,5 +1,6 @@
 """The parser algebra, framing, envelopes, routing: single payloads, then over DataFrames."""
 
+import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -228,10 +229,38 @@ def test_evidence(spark):
     from pyspark.sql import functions as F
 
     c = provenance.checkpoints(roots.withColumn("minute", F.length("segment") + F.ascii("segment"))).orderBy("minute").collect()
-    assert c[1].prev == hashlib.sha256(c[0].root.encode()).hexdigest() and c[0].hash != c[1].hash
+    plain, prev = [], "0" * 64
+    for m, root in sorted((len(k) + ord(k[0]), r) for k, (_, r) in got.items()):
+        plain.append((m, 1, root, prev, hashlib.sha256(f"siltline-checkpoint-v1|{m}|1|{root}|{prev}".encode()).hexdigest()))
+        prev = plain[-1][-1]
+    assert [tuple(x) for x in c] == plain
     assert {r.segment: (r.n, r.first, r.last) for r in provenance.seals(df).collect()} == {"x": (5, 0, 4), "y": (5, 0, 4)}
     local, archive = spark.createDataFrame([(1, "l")], "event_id int, raw string"), spark.createDataFrame([(1, "a"), (2, "a")], "event_id int, raw string")
     assert {(r.event_id, r.raw, r.store) for r in provenance.located(local, archive).collect()} == {(1, "l", "local"), (2, "a", "archive")}
     records = spark.createDataFrame([("p", n, 30, n * 100) for n in range(10)], "peer string, sequence long, bytes long, at long")
     by = {r.sequence: (r.segment, r.offset) for r in provenance.segments(records, most_events=4, most_bytes=100, most_ms=250).collect()}
     assert [by[n][0] for n in range(10)] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3] and by[4][1] == 30
+
+
+def test_a_rewritten_checkpoint_is_found_at_the_end_of_the_chain(spark):
+    rows = [(m, s, hashlib.sha256(f"{m}{s}".encode()).hexdigest()) for m in range(9) for s in range(m % 3 + 1)]
+    c = [tuple(r) for r in provenance.checkpoints(spark.createDataFrame(rows, "minute int, segment int, root string")).orderBy("minute").collect()]
+    for m in range(9):
+        assert c[m][2] == provenance.root([bytes.fromhex(r) for x, _, r in rows if x == m]).hex()
+    head, schema = c[-1][4], "minute int, n_segments long, root string, prev string, hash string"
+    found = lambda t: [tuple(r) for r in provenance.chain_findings(spark.createDataFrame(t, schema), head).collect()]
+    assert found(c) == []
+    k, root = 3, hashlib.sha256(b"other").hexdigest()
+    one = [*c[:k], (k, c[k][1], root, c[k][3], c[k][4]), *c[k + 1 :]]
+    assert found(one) == [(k, "hash")]
+    two = [*c[:k], (k, c[k][1], root, c[k][3], provenance.checkpoint_hash(k, c[k][1], root, c[k][3])), *c[k + 1 :]]
+    assert found(two) == [(k + 1, "prev")]
+    prev, rest = two[k][4], []
+    for m, n, r, _, _ in c[k + 1 :]:
+        rest.append((m, n, r, prev, provenance.checkpoint_hash(m, n, r, prev)))
+        prev = rest[-1][4]
+    assert found([*two[: k + 1], *rest]) == [(8, "head")]
+    day = provenance.daily(spark.createDataFrame(c, schema).selectExpr("minute div 4 AS day", "minute", "hash"))
+    assert {r.day: r.root for r in day.collect()} == {d: provenance.root([bytes.fromhex(x[4]) for x in c if x[0] // 4 == d]).hex() for d in range(3)}
+    assert provenance.checkpoints(spark.createDataFrame([], "minute int, segment int, root string")).collect() == []
+    assert Program({"parse": {"op": "literal", "text": "a"}}).parser_hash != Program({"parse": {"op": "literal", "text": "a"}, "max_event_bytes": 9}).parser_hash
