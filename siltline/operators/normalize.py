@@ -72,7 +72,8 @@ def normalize(df: DataFrame, mappings: list[Mapping], class_uid: int, activity:
     # One map for texts: mapped paths are read from it, the rest is unmapped.
     from siltline.operators.parser import texts
 
-    out = df.withColumn("_values", F.col(values) if values else texts(parsed))
+    # It is made once for each row; what is read from it are plain columns, so that what nobody asks for is pruned.
+    out = df.select("*", F.inline(F.array(F.struct((F.col(values) if values else texts(parsed)).alias("_values"))))) if values != "_values" else df
     states = None if values else F.col(f"{parsed}.spans")
     leaves, absent = {}, []
     for m in mappings:
@@ -101,6 +102,5 @@ def normalize(df: DataFrame, mappings: list[Mapping], class_uid: int, activity:
     rest = F.map_filter("_values", lambda k, v: ~k.isin(*mapped)) if mapped else F.col("_values")
     kept = F.struct(F.lit(version).alias("normalization_version"), *lineage) if lineage else F.struct(F.lit(version).alias("normalization_version"))
     causes = F.array_compact(F.array(*absent)) if absent else F.array().cast("array<struct<attribute:string,cause:string>>")
-    # Computed once for each row: a filter on the event would otherwise repeat what makes its leaves.
-    made = F.struct(F.struct(*_nested(leaves), kept.alias("lineage")).alias("event"), causes.alias("absent"), rest.alias("unmapped"))
-    return out.select(*df.columns, F.inline(F.array(made)))
+    event = F.struct(*_nested(leaves), kept.alias("lineage"))
+    return out.select(*df.columns, event.alias("event"), causes.alias("absent"), rest.alias("unmapped"))
