@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRAMING = "struct<method:string,raw_prefix:binary,raw_suffix:binary,truncation_status:string,confidence:string,original_length:bigint,batch_hash:string,batch_index:int,batch_size:int,fragments:int>"
@@ -130,6 +130,16 @@ def frames(df: DataFrame, method: str = "newline", content: str = "content", **o
     return made.select(*(F.col("row")[c].alias(c) for c in others), "frame_index", "f.raw", "f.framing")
 
 
+def one_of_each(framing: str = "framing") -> Column:
+    """True for one frame of each line, counted message, datagram or element, however many pieces it came in.
+
+    A counted message's first piece has its count before it; of a line, the last piece is the one that isn't truncated.
+    """
+    f = F.col(framing)
+    counted = F.when(f["method"] == "octet_counted", F.octet_length(f["raw_prefix"]) > 0)
+    return counted.when(f["method"].isin("newline", "octet_newline"), f["truncation_status"] != "truncated").otherwise(True)
+
+
 def files(spark: SparkSession, path: str, stream: bool = False, schema: str | None = None) -> DataFrame:
     """Files of a drop folder as (path, modificationTime, length, content); hidden and ``.done`` ones are left out."""
     reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read

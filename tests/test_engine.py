@@ -324,3 +324,19 @@ def test_listener(protocol):
     assert [r[2] for r in reader.readBetweenOffsets({"next": 1}, end)] == [b"two", b"part"]
     reader.commit(end)
     assert list(reader.read(end)[0]) == [] and not reader.inbox.rows
+
+
+def test_two_connectors_count_lines_in_pieces_once(spark, tmp_path):
+    import duckdb
+    from siltline import catalogue
+
+    long = "x" * (3 * frames.MOST_BYTES + 1)
+    pages = [(long,), (f"<ul>a<li>{long}<li>b\r<li>",), ("one<li>two",), ("",), (None,), ("ends\r",)]
+    spark.createDataFrame(pages, "html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([("n" * (frames.MOST_BYTES + 5),), ("Customer#1",)], "c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    duck = duckdb.connect()
+    for t in ("pages", "customer"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    answer = duck.execute(catalogue.ORACLE_SQL["two_connectors"])
+    columns = [c[0] for c in answer.description]
+    assert sorted(map(tuple, catalogue.QUERIES["two_connectors"](spark, str(tmp_path)).select(*columns).collect())) == sorted(answer.fetchall())
