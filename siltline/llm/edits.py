@@ -301,10 +301,11 @@ def total(sums: str) -> Column:
 def token_counts(docs: DataFrame, edits, id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, n_chars, n_tokens, n_edits, n_chars_edited, n_tokens_edited, n_encoded) for every row of ``docs``.
 
-    The trees of all documents are written once and edited from there (see ``edited``); counts are their roots' sums.
+    The trees of all documents are written once, packed by zstd, and edited from there (see ``edited``); counts are their roots'
+    sums.
     """
     keep = [F.col(id).alias("id"), *([F.col(edits).alias("edits")] if isinstance(edits, str) else [])]
-    stored = written(trees(docs.select(*keep, F.col(text).alias("text")), keep=["id", *(["edits"] if isinstance(edits, str) else [])], vocabulary=vocabulary), "edits-trees")
+    stored = written(trees(docs.select(*keep, F.col(text).alias("text")), keep=["id", *(["edits"] if isinstance(edits, str) else [])], vocabulary=vocabulary), "edits-trees", codec="zstd")
     stored = stored.withColumns({"n_chars": total("chars"), "n_tokens": total("tokens")})
     done = edited(stored, "edits" if isinstance(edits, str) else edits, "id", vocabulary)
     return done.select(F.col("id").alias(id), "n_chars", "n_tokens", "n_edits", total("chars").alias("n_chars_edited"), total("tokens").alias("n_tokens_edited"), "n_encoded")

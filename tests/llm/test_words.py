@@ -1,5 +1,6 @@
 """Tokens, token counts under edits, packing, chat: without Spark where it isn't needed."""
 
+import os
 import random
 from array import array
 from collections import defaultdict
@@ -253,3 +254,23 @@ def test_numbers_do_not_depend_on_partitions(spark):
         want = want or got
         assert got == want
     assert [x[1] for x in want if x[0] == "None"] == list(range(100))
+
+
+def test_stored_trees_take_little_more_than_their_texts(spark, tmp_path, monkeypatch):
+    from siltline.llm import edits
+
+    r, places = random.Random(40), []
+    vocabulary = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(3000)]
+    said = [" ".join(r.choices(vocabulary, k=400)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents"))
+
+    def kept(*args, of=edits.written, **options):
+        out = of(*args, **options)
+        places.append(out.written_to)
+        return out
+
+    monkeypatch.setattr(edits, "written", kept)
+    assert edits.token_counts(docs, edits.revision).count() == 600
+    size = lambda p: sum(os.path.getsize(os.path.join(p, f)) for f in os.listdir(p))
+    assert len(places) == 1 and size(places[0]) < 1.3 * size(tmp_path / "documents")
