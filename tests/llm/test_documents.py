@@ -743,3 +743,36 @@ def test_rounds_across_groups_lose_nothing(spark, monkeypatch):
     for n, t in enumerate(texts):
         first.setdefault(group[t], n)
     assert sorted(x.doc_id for x in out) == sorted(first.values())
+
+
+def test_training_takes_every_id_of_the_corpus(spark, monkeypatch):
+    """The ids that steps are taken over are those of all training documents, once each, at the query's own parameters."""
+    import inspect
+
+    r, real, seen = random.Random(41), scoring.trained, []
+    said = [plain(r, n) for n in [3000, 0, 1, *(700 for _ in range(60))]]
+    table = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(3)
+    base = table.selectExpr("doc_id AS id", "text")
+    usual = {k: v.default for k, v in inspect.signature(scoring.score).parameters.items()}
+    ids = word_ids("word_bpe_49k.json")
+
+    def kept(model, windows, epochs, *args, **options):
+        seen.extend(w.part for w in windows.collect())
+        return 0
+
+    monkeypatch.setattr(scoring, "trained", kept)
+    scoring.fitted(base, scoring.counts(base), usual["vocabulary"], usual["width"], 10, usual["epochs"], usual["share"])
+    want = Counter(k for n, t in enumerate(said) if not scoring.held_out(n) for k in [*array("I", ids.text(t)), ids.tokenizer.get_vocab_size()])
+    assert Counter(k for p in seen for k in array("I", p)[1:]) == want
+
+    # Parts of several windows are cut into all of them, and rounds share the blocks out.
+    parts = [(n * 7 + 3, np.arange(n * 100, n * 100 + 1 + 40 + n, dtype=np.uint32).tobytes()) for n in range(30)]
+    x, y, scored = scoring.framed([p for _, p in parts], 16)
+    assert sorted(y[scored]) == sorted(k for _, p in parts for k in array("I", p)[1:])
+    windows = spark.createDataFrame(parts, "h long, part binary")
+    for passes in (1, 3):
+        m = scoring.Model(4000, 16, 8)
+        before = m.part("e").copy()
+        assert real(m, windows, 4, block=20, passes=passes) == len(x)
+        moved = np.flatnonzero((m.part("e") != before).any(axis=1))
+        assert set(moved) == set(x[scored])  # what was an input has moved, whichever round its block was in
