@@ -776,3 +776,24 @@ def test_training_takes_every_id_of_the_corpus(spark, monkeypatch):
         assert real(m, windows, 4, block=20, passes=passes) == len(x)
         moved = np.flatnonzero((m.part("e") != before).any(axis=1))
         assert set(moved) == set(x[scored])  # what was an input has moved, whichever round its block was in
+
+
+def test_texts_are_cut_into_ids_once(spark, monkeypatch):
+    """What is learnt comes from the ids that scoring keeps, and is what the texts themselves give, part by part."""
+    r = random.Random(47)
+    said = ["", None, "Two  Words here İΣ", "<|endoftext|> x", "a\x1cb", "Café " * 9, *(plain(r, n) for n in [9000, 1, *(300 for _ in range(40))])]
+    docs = spark.createDataFrame([*enumerate(said), (None, "no id"), (6, said[6])], "doc_id long, text string").repartition(3)
+    base = docs.selectExpr("doc_id AS id", "text")
+    often = {b"": 40, plain(r, 1).encode(): 3}
+    cut = scoring.cut_texts(base, "word_bpe_49k.json", often)
+    ids = word_ids("word_bpe_49k.json")
+    of_text = lambda t: [*array("I", ids.text(t or "")), ids.tokenizer.get_vocab_size()]
+    assert Counter((x.id, tuple(array("H", x.ids))) for x in cut.collect()) == Counter((x.id, tuple(of_text(x.text))) for x in base.collect())
+    rows = lambda df: Counter((x.h, bytes(x.part)) for x in df.collect())
+    assert rows(scoring.sample_of_cut(cut, ids.tokenizer.get_vocab_size() + 1, 32, 4)) == rows(scoring.sample(base, "word_bpe_49k.json", 1.0, 32, windows=4))
+
+    def again(*args, **options):
+        raise AssertionError("texts are read again")
+
+    monkeypatch.setattr(scoring, "sample", again)
+    assert {x.doc_id for x in scoring.score(docs, train_windows=10).collect()} == {None, *range(len(said))}
