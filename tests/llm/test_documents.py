@@ -797,3 +797,19 @@ def test_texts_are_cut_into_ids_once(spark, monkeypatch):
 
     monkeypatch.setattr(scoring, "sample", again)
     assert {x.doc_id for x in scoring.score(docs, train_windows=10).collect()} == {None, *range(len(said))}
+
+
+@pytest.mark.parametrize("wide", [1, 40])
+def test_scoring_step_needs_no_shift(monkeypatch, wide):
+    """A step moves weights as one whose logits are all shifted before exp, which large ones still are."""
+    r = np.random.default_rng(5)
+    x, y, kept = r.integers(0, 400, (130, 16)), r.integers(0, 400, (130, 16)), r.random((130, 16)) < 0.9
+    out = []
+    for steady in (scoring.STEADY, -1.0):
+        monkeypatch.setattr(scoring, "STEADY", steady)
+        m = scoring.Model(400, 16, 8, counts=np.arange(400.0))
+        m.rows *= np.float32(wide)
+        out.append((m.step(x, y, kept), m.rows - scoring.Model(400, 16, 8, counts=np.arange(400.0)).rows * np.float32(wide), m.moved))
+    for a, b in zip(*out, strict=True):
+        assert np.isfinite(a).all()
+        np.testing.assert_allclose(a, b, rtol=1e-2, atol=1e-4)
